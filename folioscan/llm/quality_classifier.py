@@ -202,3 +202,20 @@ def score(docs: DataFrame, model: Network | float, id_col: str = "doc_id", text_
                 yield pa.RecordBatch.from_arrays([*(batch.column(n).slice(a, b - a) for n in names), pa.array(scores, pa.float64())], [*names, "score"])
 
     return rows.mapInArrow(run, schema)
+
+
+def keep_good(docs: DataFrame, model: Network | float, text_col: str = "text", least: float = 0.5) -> DataFrame:
+    """The rows whose text scores at least ``least``, with all their columns."""
+    if isinstance(model, float):  # the labels tell nothing
+        return docs
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    place = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(sent.value)
+        for batch in batches:
+            texts = texts_of(batch.column(place))
+            scores = [scorer.score(texts.data[x:y]) for x, y in zip(texts.offsets[:-1], texts.offsets[1:], strict=True)]
+            yield batch.filter(pa.array([s >= least for s in scores], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscan.llm import dedup_exact, mixing, near_dedup, packing, quality_classifier, quality_rules, tokens
+from folioscan.llm import dedup_exact, mixing, near_dedup, packing, quality_classifier, quality_rules, tokens, url_filter, warc
 
 
 def tokenizer(name: str) -> str:
@@ -22,6 +22,23 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
 
+def page_outcomes(pages: DataFrame, labels: DataFrame) -> DataFrame:
+    """(host, bad) of each page. A page shows the document whose number ends its path; it is bad if that is of low quality or toxic."""
+    host, path = url_filter.host_of(F.col("url")), url_filter.path_of(F.col("url"))
+    shown = pages.select(host.alias("host"), F.regexp_extract(path, r"/([0-9]{1,18})(?:\.html)?/?$", 1).try_cast("long").alias("doc_id"))
+    outcome = labels.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max((F.col("quality") == 0) | (F.col("toxic") == 1)).cast("int").alias("bad"))
+    return shown.join(outcome, "doc_id", "left").select("host", "bad")
+
+
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return url_filter.judge(pages, page_outcomes(pages, table(spark, sf_dir, "labels"))).withColumnRenamed("id", "page_id")
+
+
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages")).withColumnRenamed("id", "page_id").drop("target_uri")
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model")).withColumnRenamed("id", "doc_id")
 
@@ -75,5 +92,5 @@ c AS (SELECT source, coalesce(min(bin) FILTER (before + bin_size / 2 > rest), 10
 SELECT doc_id, size, source_size, target, CASE WHEN size > 0 THEN (whole + (bin < cut)::BIGINT) * size ELSE 0 END::BIGINT AS taken
 FROM sized JOIN p ON sized.source IS NOT DISTINCT FROM p.source JOIN c ON sized.source IS NOT DISTINCT FROM c.source"""
 
-QUERIES = {"op1_packing": op1_packing, "op4_token_counts": op4_token_counts, "op6_near_dedup": op6_near_dedup, "op7_quality_rules": op7_quality_rules, "op8_quality_classifier": op8_quality_classifier, "op9_exact_dedup": op9_exact_dedup, "op10_source_mix": op10_source_mix}
+QUERIES = {"op1_packing": op1_packing, "op2_url_filter": op2_url_filter, "op3_warc": op3_warc, "op4_token_counts": op4_token_counts, "op6_near_dedup": op6_near_dedup, "op7_quality_rules": op7_quality_rules, "op8_quality_classifier": op8_quality_classifier, "op9_exact_dedup": op9_exact_dedup, "op10_source_mix": op10_source_mix}
 ORACLES = {"op9_exact_dedup": OP9_SQL, "op10_source_mix": OP10_SQL}
