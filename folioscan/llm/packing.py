@@ -93,7 +93,7 @@ class WordEncoder:
     def _learn(self, words: list[bytes]) -> None:
         if len(self.memo) > MEMO_WORDS or self.bytes > MEMO_BYTES:
             self._clear()
-        new = sorted({w for w in words if w not in self.memo})
+        new = sorted(set(words).difference(self.memo))
         coded = [np.array(x.ids, np.uint32) for x in self.library.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)]
         lengths = np.array([len(x) for x in coded], np.int64)
         self.memo |= dict(zip(new, range(len(self.length), len(self.length) + len(new)), strict=True))
@@ -125,6 +125,18 @@ class WordEncoder:
         return ids, ends[at == 0]
 
 
+_encoders: dict[tuple[str, int], WordEncoder] = {}
+
+
+def encoder_of(serialised: str, end_id: int) -> WordEncoder:
+    """The worker's encoder: what one task has learned serves the next."""
+    key = (serialised, end_id)
+    if key not in _encoders:
+        _encoders.clear()
+        _encoders[key] = WordEncoder(serialised, end_id)
+    return _encoders[key]
+
+
 def _blocks(text: bytes) -> Iterator[bytes]:
     """A long text in blocks that end at white space."""
     data, at = np.frombuffer(text, np.uint8), 0
@@ -241,7 +253,7 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
         rows = rows.withColumn("id", F.col("id").cast("string"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(sent.value, end_id)
+        encoder = encoder_of(sent.value, end_id)
         packer = Packer(tiers, TaskContext.get().partitionId())
 
         def flush() -> pa.RecordBatch:
