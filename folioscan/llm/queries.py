@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscan.llm import dedup_exact, mixing, near_dedup, packing, quality_classifier, quality_rules, tokens, url_filter, warc
+from folioscan.llm import dedup_exact, license_scan, mixing, near_dedup, packing, quality_classifier, quality_rules, tokens, url_filter, warc
 
 
 def tokenizer(name: str) -> str:
@@ -43,6 +43,11 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model")).withColumnRenamed("id", "doc_id")
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return license_scan.scan(docs, license_scan.train(license_scan.sample(docs))).withColumnRenamed("id", "doc_id")
+
+
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_dedup.classes(table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), "class_id", (F.col("id") == F.col("class_id")).alias("kept"))
@@ -92,5 +97,5 @@ c AS (SELECT source, coalesce(min(bin) FILTER (before + bin_size / 2 > rest), 10
 SELECT doc_id, size, source_size, target, CASE WHEN size > 0 THEN (whole + (bin < cut)::BIGINT) * size ELSE 0 END::BIGINT AS taken
 FROM sized JOIN p ON sized.source IS NOT DISTINCT FROM p.source JOIN c ON sized.source IS NOT DISTINCT FROM c.source"""
 
-QUERIES = {"op1_packing": op1_packing, "op2_url_filter": op2_url_filter, "op3_warc": op3_warc, "op4_token_counts": op4_token_counts, "op6_near_dedup": op6_near_dedup, "op7_quality_rules": op7_quality_rules, "op8_quality_classifier": op8_quality_classifier, "op9_exact_dedup": op9_exact_dedup, "op10_source_mix": op10_source_mix}
+QUERIES = {"op1_packing": op1_packing, "op2_url_filter": op2_url_filter, "op3_warc": op3_warc, "op4_token_counts": op4_token_counts, "op5_license_scan": op5_license_scan, "op6_near_dedup": op6_near_dedup, "op7_quality_rules": op7_quality_rules, "op8_quality_classifier": op8_quality_classifier, "op9_exact_dedup": op9_exact_dedup, "op10_source_mix": op10_source_mix}
 ORACLES = {"op9_exact_dedup": OP9_SQL, "op10_source_mix": OP10_SQL}
