@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from folioscan.workspace import persist_table
@@ -13,14 +13,19 @@ def skip_redirects(revisions: DataFrame) -> DataFrame:
     return revisions.where(~F.coalesce(F.col("page.is_redirect"), F.lit(False)))
 
 
+def redirect_counters() -> list[Column]:
+    """Aggregates ``redirectPages`` (revisions of redirect pages, as the name has always meant) and ``revisions``."""
+    return [F.count_if(F.coalesce(F.col("page.is_redirect"), F.lit(False))).alias("redirectPages"), F.count(F.lit(1)).alias("revisions")]
+
+
 def count_redirects(revisions: DataFrame) -> tuple[DataFrame, Observation]:
     """Count the revisions of redirect pages as they pass, before any later filter.
 
-    The observation holds ``redirectPages`` (revisions, as the name has always
-    meant) and ``revisions`` once an action has run.
+    The observation holds the counters once an action has run. Rows that pass
+    twice count twice: a sort further on samples its input first.
     """
     seen = Observation("redirects")
-    return revisions.observe(seen, F.count_if(F.coalesce(F.col("page.is_redirect"), F.lit(False))).alias("redirectPages"), F.count(F.lit(1)).alias("revisions")), seen
+    return revisions.observe(seen, *redirect_counters()), seen
 
 
 def sort_by_id(revisions: DataFrame) -> DataFrame:

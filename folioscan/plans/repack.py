@@ -10,15 +10,20 @@ import sys
 
 from pyspark.sql import SparkSession
 
-from folioscan.operators import count_redirects, skip_redirects, write_index
+from folioscan.operators import redirect_counters, skip_redirects, write_index
 from folioscan.sources import HttpFetcher, read_dump, resolve_dump
 
 
 def repack(spark: SparkSession, dump: str, out: str, skip: bool = False, entities: str = "text", files: int | None = None) -> dict[str, int]:
-    """Write the index of ``dump`` to ``out``; returns the counters, taken before the filter."""
-    rows, seen = count_redirects(read_dump(spark, dump, entities))
+    """Write the index of ``dump`` to ``out``; returns the counters, taken before the filter.
+
+    The counters have a pass of their own, which extracts the page's header
+    alone: a sort reads its input twice, to place its bounds, and would make an
+    observation count twice too.
+    """
+    rows = read_dump(spark, dump, entities)
     write_index(skip_redirects(rows) if skip else rows, out, files=files)
-    return dict(seen.get)
+    return rows.agg(*redirect_counters()).first().asDict()
 
 
 def parser() -> argparse.ArgumentParser:

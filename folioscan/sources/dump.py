@@ -63,10 +63,8 @@ def revisions_of(chunks: DataFrame, entities: str = "text", timestamps: str = "s
     body_of = {"text": unescape_xml, "full": unescape_xml, "reference": _last_line_kept, "raw": lambda c: c}[entities]
     instant = F.to_timestamp if timestamps == "strict" else F.try_to_timestamp
 
-    page = F.struct(
-        name(_tag(F.col("_header"), "title")).alias("title"),
-        _number(F.col("_header"), S.NO_PAGE_ID).alias("id"),
-        F.col("_header").rlike(r"<redirect[^>]*/>").alias("is_redirect"),
+    page = F.named_struct(
+        F.lit("title"), name(_tag(F.col("_header"), "title")), F.lit("id"), _number(F.col("_header"), S.NO_PAGE_ID), F.lit("is_redirect"), F.col("_header").rlike(r"<redirect[^>]*/>")
     )
     rows = pages_of(chunks).select(
         page.alias("page"),
@@ -77,7 +75,7 @@ def revisions_of(chunks: DataFrame, entities: str = "text", timestamps: str = "s
     rest = F.regexp_replace("_rev", r"(?s)<contributor>.*?</contributor>", "")
     contributor = F.when(
         F.col("_rev").contains("<contributor>"),
-        F.struct(F.coalesce(name(_tag(by, "username")), F.lit(S.NO_USERNAME)).alias("username"), _number(by, S.NO_CONTRIBUTOR_ID).alias("id")),
+        F.named_struct(F.lit("username"), F.coalesce(name(_tag(by, "username")), F.lit(S.NO_USERNAME)), F.lit("id"), _number(by, S.NO_CONTRIBUTOR_ID)),
     )
     text = F.regexp_replace(F.regexp_extract("_rev", r"(?s)<text(?:\s[^>]*)?(?<!/)>(.*?)</text>", 1), r"\r\n?", "\n")
     return rows.select(
