@@ -47,3 +47,16 @@ def located(docs: DataFrame, *columns: str) -> DataFrame:
 def small_or_plain(table: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Broadcast a stored table if it has been counted and is small, else leave the join to Spark."""
     return F.broadcast(table) if table.limit(rows + 1).count() <= rows else table
+
+
+def maybe_in(rows: DataFrame, key: str, wanted: DataFrame, places: int = 1 << 20) -> DataFrame:
+    """``rows`` without most of those whose ``key`` (an integer) is not among the keys of ``wanted``.
+
+    Keys are hashed to ``places``, and at most so many numbers are broadcast. Of
+    the rows to be left out a share of about len(wanted) / places stays: an
+    exact join has to follow, but it moves far fewer rows while wanted is small
+    against ``places``, and no more than before beyond that.
+    """
+    place = F.pmod(F.xxhash64(F.col(key).cast("long")), F.lit(places))
+    taken = wanted.select(place.alias("_place")).distinct()
+    return rows.withColumn("_place", place).join(F.broadcast(taken), "_place", "left_semi").drop("_place")

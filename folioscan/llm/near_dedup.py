@@ -4,13 +4,15 @@ Texts are sets of shingles of five words (a shorter text with words is one
 shingle). Texts with the same set are one node from the start, whatever their
 number. Nodes that share a band of their signatures are candidates:
 
-1. In each bucket every node is paired with the least one; pairs are checked by
-   the exact Jaccard similarity of their shingles, and components are found.
-   A bucket of thousands of near copies costs one pair for each.
-2. Where a bucket still holds several components, the nodes outside its largest
-   are paired with those of other components, and checked too. After that each
-   pair in a bucket is checked or already connected: no link within a bucket
-   is lost, however large the bucket is.
+1. In each bucket every node is paired with the least one, the hub; pairs are
+   checked by the exact Jaccard similarity of their shingles, and components are
+   found. Thousands of near copies cost one pair for each node and hub.
+2. Where the nodes of a hub still make up several components, those outside the
+   largest are compared with all others, in blocks: a block of each side meets
+   in one task, overlaps are counted through the shingles that both sides hold,
+   and only links that join components are put out. After that any two nodes
+   that ever shared a bucket are compared or connected, so no link among
+   candidates is lost, and no pair of a large bucket becomes a row.
 
 With 25 bands of 5 a pair at the threshold of 0.8 is missed by all bands once
 in 20,000, at 0.85 once in 10 million.
@@ -31,6 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folioscan.llm.common import maybe_in
 from folioscan.llm.components import components
 from folioscan.llm.dartminhash import band_keys, signatures
 from folioscan.llm.textscan import Texts, mix64, slices, texts_of, windows_of, words_of
@@ -39,6 +42,8 @@ from folioscan.workspace import persist_table
 SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 25, 5
+#: Nodes of a side that meet in one task.
+BLOCK = 256
 #: Nodes of classes without any id are numbered from here up.
 NO_ID = (1 << 63) - 1 - (1 << 40)
 
@@ -116,23 +121,16 @@ def _common(x: np.ndarray, y: np.ndarray) -> int:
     return int((both[1:] == both[:-1]).sum())
 
 
-def _check(pairs: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) whose texts are at least so similar."""
-    pairs = persist_table(pairs, "pairs")
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = persist_table(_sets(docs.join(nodes, "id", "left_semi")), "shingle-sets")
+def _check(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (a, b) whose sets are at least so similar."""
     # The narrow rows meet the sets of hot hubs; what is moved after that is dealt by the other side.
-    left = pairs.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
-    both = left.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").select("a", "b", "x", "y")
+    left = pairs.hint("merge").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
+    both = left.hint("merge").join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").select("a", "b", "x", "y")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = np.zeros(batch.num_rows, bool)
-            columns = []
-            for name in ("x", "y"):
-                col = batch.column(name)
-                columns.append((col.offsets.to_numpy(), col.values.to_numpy().view(np.uint32)))
-            (xo, xv), (yo, yv) = columns
+            (xo, xv), (yo, yv) = _lists(batch.column("x")), _lists(batch.column("y"))
             for i in range(batch.num_rows):
                 x, y = xv[xo[i] : xo[i + 1]], yv[yo[i] : yo[i + 1]]
                 common = _common(x, y)
@@ -142,6 +140,75 @@ def _check(pairs: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
+def _lists(column) -> tuple[np.ndarray, np.ndarray]:
+    return column.offsets.to_numpy(), column.values.to_numpy().view(np.uint32)
+
+
+def _similar(x: list[np.ndarray], y: list[np.ndarray], threshold: float) -> np.ndarray:
+    """Which of the sets x and y are at least so similar, as a matrix, by the shingles that occur on both sides."""
+    nx, ny = np.array([len(s) for s in x], np.float32), np.array([len(s) for s in y], np.float32)
+    ax, ay = np.concatenate(x), np.concatenate(y)
+    both = np.intersect1d(ax, ay)
+    common = np.zeros((len(x), len(y)), np.float32)
+    rows = []
+    for sets, every in ((x, ax), (y, ay)):
+        at = np.searchsorted(both, every)
+        at[at == len(both)] = 0
+        hit = both[at] == every if len(both) else np.zeros(len(every), bool)
+        rows.append((np.repeat(np.arange(len(sets)), [len(s) for s in sets])[hit], at[hit]))
+    for lo in range(0, len(both), 4096):  # so many shingles at once
+        part = []
+        for (who, at), n in zip(rows, (len(x), len(y)), strict=True):
+            here = (at >= lo) & (at < lo + 4096)
+            m = np.zeros((n, min(4096, len(both) - lo)), np.float32)
+            m[who[here], at[here] - lo] = 1
+            part.append(m)
+        common += part[0] @ part[1].T
+    return common >= threshold * (nx[:, None] + ny[None, :] - common) - 1e-4
+
+
+def _link_block(table: pa.Table, threshold: float) -> pa.Table:
+    """The links of one block of each side that join components not yet joined here."""
+    node, root, left = (table.column(c).to_numpy() for c in ("node", "root", "left"))
+    shingles = table.column("shingles").combine_chunks()
+    offsets, values = _lists(shingles)
+    sets = [values[i:j] for i, j in zip(offsets[:-1], offsets[1:], strict=True)]
+    xs, ys = np.flatnonzero(left), np.flatnonzero(~left)
+    a, b = [], []
+    if len(xs) and len(ys):
+        found = _similar([sets[i] for i in xs], [sets[i] for i in ys], threshold) & (root[xs][:, None] != root[ys][None, :])
+        up: dict[int, int] = {}
+
+        def top(r: int) -> int:
+            while up.get(r, r) != r:
+                r = up[r]
+            return r
+
+        for i, j in zip(*np.nonzero(found), strict=True):
+            p, q = top(int(root[xs[i]])), top(int(root[ys[j]]))
+            if p != q:
+                up[max(p, q)] = min(p, q)
+                a.append(int(node[xs[i]]))
+                b.append(int(node[ys[j]]))
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
+def _check_rest(stars: DataFrame, roots: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Links (a, b) among nodes of the same hub that are in different components; the hub itself has been compared with all."""
+    member = stars.select(F.col("b").alias("hub"), F.col("a").alias("node")).join(roots, "node", "left").select("hub", "node", F.coalesce("root", "node").alias("root"))
+    member = persist_table(member, "hub-members")
+    parts = member.groupBy("hub", "root").agg(F.count(F.lit(1)).alias("n"))
+    groups = parts.groupBy("hub").agg(F.max(F.struct("n", "root"))["root"].alias("main"), F.max("n").alias("most"), F.sum("n").alias("all"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    groups = persist_table(groups.select("hub", "main", F.ceil((F.col("all") - F.col("most")) / BLOCK).alias("lefts"), F.ceil(F.col("all") / BLOCK).alias("rights")), "mixed-hubs")
+    mixed = member.join(groups, "hub")
+    deal = lambda n, seed: F.pmod(F.xxhash64("node", F.lit(seed)), F.col(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    one = mixed.where("root <> main").select("hub", "node", "root", F.lit(True).alias("left"), deal("lefts", 1).alias("i"), every("rights").alias("j"))
+    two = mixed.select("hub", "node", "root", F.lit(False).alias("left"), every("lefts").alias("i"), deal("rights", 2).alias("j"))
+    met = one.unionByName(two).hint("merge").join(sets, "node")
+    return met.groupBy("hub", "i", "j").applyInArrow(lambda t: _link_block(t, threshold), "a long, b long")
+
+
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, weighted: bool = False) -> DataFrame:
     """A row for each document: id, class_id (the least id of its class)."""
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -152,26 +219,16 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
 
     spread = nodes.select(F.explode("bands").alias("band"), "node", "size")
     hubs = spread.groupBy("band").agg(F.min(F.struct("node", "size")).alias("hub"), F.count(F.lit(1)).alias("members")).where("members > 1").select("band", "hub")
-    buckets = persist_table(spread.join(hubs, "band").select("band", "node", "size", "hub"), "buckets")
-
-    def near(size, other):
-        return F.least(size, other) >= F.lit(threshold) * F.greatest(size, other) - 1e-9
-
-    stars = buckets.where((F.col("node") != F.col("hub.node")) & near(F.col("size"), F.col("hub.size"))).select(F.col("node").alias("a"), F.col("hub.node").alias("b")).distinct()
-    links = persist_table(_check(stars, docs, threshold), "links")
+    stars = spread.join(hubs, "band").where(F.col("node") != F.col("hub.node")).select(F.col("node").alias("a"), "size", F.col("hub.node").alias("b"), F.col("hub.size").alias("hub_size")).distinct()
+    stars = persist_table(stars, "stars")
+    candidates = persist_table(stars.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "candidates")
+    texts = maybe_in(docs, "id", candidates).hint("merge").join(candidates, "id", "left_semi")
+    sets = persist_table(_sets(texts), "shingle-sets")
+
+    near = F.least("size", "hub_size") >= F.lit(threshold) * F.greatest("size", "hub_size") - 1e-9
+    links = persist_table(_check(stars.where(near).select("a", "b"), sets, threshold), "links")
     roots = persist_table(components(links), "star-roots")
-
-    placed = buckets.select("band", "node", "size").join(roots, "node", "left").select("band", "node", "size", F.coalesce("root", "node").alias("root"))
-    parts = placed.groupBy("band", "root").agg(F.count(F.lit(1)).alias("n"))
-    mixed = parts.groupBy("band").agg(F.max(F.struct("n", "root"))["root"].alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("band", "main")
-    placed = persist_table(placed.join(mixed, "band"), "mixed-buckets")
-    minor = placed.where("root <> main").select("band", F.col("node").alias("a"), F.col("root").alias("ra"), F.col("size").alias("sa"))
-    other = placed.select("band", F.col("node").alias("b"), F.col("root").alias("rb"), F.col("size").alias("sb"), "main")
-    # Both outside the main part: once, by order.
-    rest = minor.join(other, "band").where((F.col("ra") != F.col("rb")) & ((F.col("rb") == F.col("main")) | (F.col("a") < F.col("b"))) & near(F.col("sa"), F.col("sb")))
-    rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    tested = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = _check(rest.join(tested, ["a", "b"], "left_anti"), docs, threshold)
+    more = _check_rest(stars, roots, sets, threshold)
     member = persist_table(rows.join(nodes.select("d1", "d2", "size", "node"), ["d1", "d2", "size"], "left").select("id", "node"), "members")
     several = member.where("id IS NOT NULL AND node IS NOT NULL").groupBy("id").agg(F.min("node").alias("b"), F.max("node").alias("last")).where("b <> last").select("id", "b")
     same_id = member.join(several, "id").select(F.col("node").alias("a"), "b").where("a <> b")
