@@ -1,0 +1,122 @@
+"""Quality rules against brute force, and both quality operators against labels."""
+
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from folioscan.llm import quality_classifier as qc
+from folioscan.llm import quality_rules as qr
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def brute(text):
+    text = text or ""
+    w = WORD.findall(text)
+    seen = Counter(tuple(w[i : i + 8]) for i in range(len(w) - 7))
+    inside = {j for i in range(len(w) - 7) if seen[tuple(w[i : i + 8])] > 1 for j in range(i, i + 8)}
+    lines, dups = set(), 0
+    for line in text.split("\n"):
+        if WORD.search(line):
+            dups += line in lines
+            lines.add(line)
+    return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in text), dups, len(inside)
+
+
+def test_counts(spark):
+    rng = random.Random(2)
+    texts = [None, "", " \x0b\f", "a\nb\na \na", "é#|<>日本 x", "a\x85b\x1cc d"]
+    texts += [" ".join(rng.choice("abc") for _ in range(n)) for n in range(60)] + ["\n".join(rng.choice("ab") * 3 for _ in range(30)), "word " * 50_000]
+    df = spark.createDataFrame([(i, t, None if i % 5 == 0 else "en", None if i % 7 == 0 else "s", 1.0) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, d2 double")
+    rows = qr.judge(df).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        c = brute(texts[r["id"]])
+        assert tuple(r[k] for k in qr.COUNTS) == c
+        assert r["base_failed"] == (c[0] < 20 or 100 * c[4] > 30 * c[0])
+        assert r["kept"] in (True, False) and not (r["base_failed"] and r["kept"])
+    assert qr.judge(df.limit(0)).collect() == []
+
+
+def test_estimate_resists_outliers(spark):
+    """Means and covariances of a third of bad rows, as large as the estimate's own good ones."""
+    rng = np.random.default_rng(0)
+    good, bad = rng.normal(0, 1, (900, qr.P)), rng.normal(8, 0.5, (250, qr.P))
+    rows = [(i, "en", "s", x.tolist()) for i, x in enumerate(np.concatenate([good, bad]))]
+    df = spark.createDataFrame(rows, "id long, lang string, source string, x array<double>")
+    d2 = {r["id"]: r["d2"] for r in qr.robust_distance(df).collect()}
+    cut = qr.chi2_quantile(qr.P, 1 - qr.CUTOFF_TAIL)
+    assert all(d2[i] > cut for i in range(900, 1150)) and sum(d2[i] > cut for i in range(900)) <= 2
+    plain = np.linalg.inv(np.cov(good.T))
+    for i in range(0, 900, 90):
+        assert d2[i] == pytest.approx(good[i] @ plain @ good[i], rel=0.25, abs=0.4)
+
+
+def test_chi2_quantile():
+    draws = np.random.default_rng(1).chisquare(4, 400_000)
+    for share in (0.5, 0.75, 0.99):
+        assert (draws < qr.chi2_quantile(4, share)).mean() == pytest.approx(share, abs=0.003)
+
+
+def test_rules_keep_clean_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    rows = qr.judge(docs).join(labels, F.col("id") == F.col("doc_id")).where("NOT base_failed").groupBy("quality").agg(F.avg(F.col("kept").cast("int")).alias("kept")).collect()
+    kept = {r["quality"]: r["kept"] for r in rows}
+    assert kept[1] > 0.995 and kept[0] < 0.3
+
+
+def test_classifier_on_held_out_rows(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    rows = qc.score(docs, qc.fit(docs, labels)).join(labels, F.col("id") == F.col("doc_id")).collect()
+    rows = [r for r in rows if zlib.crc32(str(r["id"]).encode()) % 3 == 1]
+    y, s = np.array([r["quality"] for r in rows]), np.array([r["score"] for r in rows])
+    rank = s.argsort().argsort()
+    n1, n0 = (y == 1).sum(), (y == 0).sum()
+    assert (rank[y == 1].sum() - n1 * (n1 - 1) / 2) / (n1 * n0) > 0.99
+    assert ((s >= 0.5) == y).mean() > 0.96 and (s[y == 1] >= 0.5).mean() > 0.97
+
+
+def test_training_rows_are_not_held_out(spark):
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)] + [(3, 0), (None, 1), (7, None)], "doc_id long, quality int")
+    texts, y = qc.sample(docs, labels, "doc_id", "text", "quality", 1000)
+    learned = {int(t.split()[1]) for t in texts}
+    assert learned == {i for i in range(60) if zlib.crc32(str(i).encode()) % 3 != 1} - {3}  # 3 has both labels
+    assert len(qc.sample(docs, labels, "doc_id", "text", "quality", 10)[0]) == 10
+
+
+def test_classifier_edges(spark):
+    net = qc.train([b"good text here"] * 30 + [b"$$$ !!! ###"] * 30, np.array([1] * 30 + [0] * 30))
+    df = spark.createDataFrame([(1, None, 9.0), (2, "", 9.0), (2, "x", 9.0), (3, "word " * 300_000, 9.0)], "doc_id long, text string, score double")
+    rows = qc.score(df, net).collect()
+    assert len(rows) == 4 and all(0 <= r["score"] <= 1 for r in rows)
+    assert {r["score"] for r in rows if r["id"] == 1} == {r["score"] for r in rows if r["id"] == 2 and r["score"] in {x["score"] for x in rows if x["id"] == 1}}
+    assert qc.keep_good(df, net, least=0.0).count() == 4 and qc.keep_good(df, net).columns == df.columns
+    empty = spark.createDataFrame([], "doc_id long, quality int")
+    assert qc.fit(df, empty) == 0.5 and [r["score"] for r in qc.score(df, 0.5).collect()] == [0.5] * 4
+    assert qc.score(df.limit(0), net).collect() == []
+
+
+def test_tables_equal_the_plain_network():
+    """Lookups by pairs of classes against one dot product at each place."""
+    rng = np.random.default_rng(0)
+    net = qc.train([b"abc def ghi jkl"] * 8 + [b"ZZ!! YY## XX$$ "] * 8, np.array([1] * 8 + [0] * 8))
+    byte = rng.integers(32, 127, 300).astype(np.uint8)
+    x = net.vectors[net.class_of[byte]]
+    want = [max(float((x[i : i + qc.WIDTH] * net.filters[:, :, f]).sum()) for i in range(300 - qc.WIDTH + 1)) for f in range(qc.FILTERS)]
+    assert np.allclose(qc.Scorer(net).tops(byte), want, atol=1e-4)
+
+
+def test_a_bad_passage_counts_wherever_it_stands(spark):
+    net = qc.train([b"plain words of prose " * 3] * 40 + [b"$$$ !!! ### ***"] * 40, np.array([1] * 40 + [0] * 40))
+    clean = "plain words of prose " * 2000
+    scorer = qc.Scorer(net)
+    for at in (0, 20_000, len(clean)):
+        dirty = clean[:at] + "$$$ !!! ### ***" * 40 + clean[at:]
+        assert scorer.score(np.frombuffer(dirty.encode(), np.uint8)) < scorer.score(np.frombuffer(clean.encode(), np.uint8))
