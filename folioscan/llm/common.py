@@ -30,18 +30,23 @@ def word_count(c: Column) -> Column:
     return F.regexp_count(c, F.lit(WORD)).cast("long")
 
 
-def located(docs: DataFrame, *columns: str) -> DataFrame:
-    """The named columns and each row's place, (``at_file``, ``at_row``).
+#: Names of a row's place, unlikely in any table.
+FILE, ROW = "folioscan_file", "folioscan_row"
+
+
+def located(docs: DataFrame) -> DataFrame:
+    """``docs`` with each row's place, (``FILE``, ``ROW``); as it is if it has them already.
 
     Tables read from files have such places. Any other input is written to the
     shared folder first, so that a row keeps its place whenever it is computed.
     """
-    rows = docs.select(*columns)
-    place = (F.col("_metadata.file_path").alias("at_file"), F.col("_metadata.row_index").alias("at_row"))
+    if FILE in docs.columns:
+        return docs
+    place = (F.col("_metadata.file_path").alias(FILE), F.col("_metadata.row_index").alias(ROW))
     try:
-        return rows.select("*", *place)
+        return docs.select(*docs.columns, *place)
     except AnalysisException:
-        return persist_table(rows, "located").select("*", *place)
+        return persist_table(docs, "located").select(*docs.columns, *place)
 
 
 def small_or_plain(table: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:

@@ -26,7 +26,7 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscan.llm.common import located, text_of, without_space
+from folioscan.llm.common import FILE, ROW, located, text_of, without_space
 from folioscan.workspace import persist_table, scratch
 
 STATE = {
@@ -51,9 +51,13 @@ def _settings(spark: SparkSession, values: dict[str, str]):
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_points, digest, at_file, at_row) of each row; the text itself is not carried on."""
-    rows = located(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "id", "text")
+def placed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, text, at_file, at_row): what the steps below need of a table."""
+    return located(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(FILE).alias("at_file"), F.col(ROW).alias("at_row"))
+
+
+def digests(rows: DataFrame) -> DataFrame:
+    """(id, n_points, digest, at_file, at_row) of ``placed`` rows; the text itself is not carried on."""
     return rows.select("id", F.length(text_of()).cast("long").alias("n_points"), F.sha2(without_space(text_of()), 256).alias("digest"), "at_file", "at_row")
 
 
@@ -74,52 +78,53 @@ def state_table(spark: SparkSession, checkpoint: str) -> DataFrame:
     return state.select("key.digest", F.struct("value.min.id", "value.min.at_file", "value.min.at_row").alias("keep"), F.col("value.count").alias("copies"))
 
 
-def split_digests(docs: DataFrame, hits: DataFrame, text_col: str = "text", salts: int = SALTS) -> DataFrame:
-    """Those of the ``hits`` whose rows differ in their full texts.
+def split_digests(rows: DataFrame, hits: DataFrame, salts: int = SALTS) -> DataFrame:
+    """Those of the ``hits`` whose ``placed`` rows differ in their full texts.
 
     Rows of a digest are dealt over ``salts`` parts and come together as the
     least and greatest text of each part.
     """
-    rows = located(docs.select(F.col(text_col).alias("text")), "text").select(
-        F.sha2(without_space(text_of()), 256).alias("digest"), F.pmod("at_row", F.lit(salts)).alias("salt"), without_space(text_of()).alias("full")
-    )
+    rows = rows.select(F.sha2(without_space(text_of()), 256).alias("digest"), F.pmod("at_row", F.lit(salts)).alias("salt"), without_space(text_of()).alias("full"))
     dealt = hits.select("digest", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("salt"))
     ends = rows.join(dealt, ["digest", "salt"], "left_semi").groupBy("digest", "salt").agg(F.min("full").alias("lo"), F.max("full").alias("hi"))
     return ends.groupBy("digest").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo <> hi").select("digest")
 
 
-def _regrouped(docs: DataFrame, rows: DataFrame, split: DataFrame, text_col: str) -> DataFrame:
+def _regrouped(rows: DataFrame, found: DataFrame, split: DataFrame) -> DataFrame:
     """Groups by full text for the rows of digests that stand for several."""
-    full = located(docs.select(F.col(text_col).alias("text")), "text").select("at_file", "at_row", without_space(text_of()).alias("full"))
-    mine = rows.join(split, "digest", "left_semi").join(full, ["at_file", "at_row"])
+    full = rows.select("at_file", "at_row", without_space(text_of()).alias("full"))
+    mine = found.join(split, "digest", "left_semi").join(full, ["at_file", "at_row"])
     rank = F.struct((-F.col("n_points")).alias("less"), F.col("id").isNull().alias("no_id"), "id", "at_file", "at_row")
     best = mine.groupBy("full").agg(F.min(rank).alias("best"), F.count(F.lit(1)).alias("copies"))
     return mine.join(best, "full").select("id", "digest", "at_file", "at_row", F.struct("best.id", "best.at_file", "best.at_row").alias("keep"), "copies")
 
 
-def decide(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", checkpoint: str | None = None, digest_of=digests) -> DataFrame:
-    """A row for each document: id, digest, keep (id and locator), copies, kept, and its own locator.
-
-    checkpoint: keep the state there; by default it lives in the shared scratch folder.
-    """
-    spark = docs.sparkSession
-    docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+def _decide(rows: DataFrame, checkpoint: str | None) -> DataFrame:
+    spark = rows.sparkSession
     folder, checkpoint = scratch(spark, "digests"), checkpoint or scratch(spark, "dedup-state")
-    found = digest_of(docs, "id", "text")
+    found = digests(rows)
     found.write.parquet(folder)
-    rows = spark.read.schema(found.schema).parquet(folder)
+    stored = spark.read.schema(found.schema).parquet(folder)
     ingest(spark, folder, found.schema, checkpoint)
     groups = state_table(spark, checkpoint)
-    joined = rows.join(groups, "digest").select("id", "digest", "at_file", "at_row", "keep", "copies")
-    split = persist_table(split_digests(docs, groups.where("copies > 1").select("digest")), "split-digests")
+    joined = stored.join(groups, "digest").select("id", "digest", "at_file", "at_row", "keep", "copies")
+    split = persist_table(split_digests(rows, groups.where("copies > 1").select("digest")), "split-digests")
     if split.take(1):
-        joined = joined.join(split, "digest", "left_anti").unionByName(_regrouped(docs, rows, split, "text"))
+        joined = joined.join(split, "digest", "left_anti").unionByName(_regrouped(rows, stored, split))
     kept = (F.col("keep.at_file") == F.col("at_file")) & (F.col("keep.at_row") == F.col("at_row"))
     return joined.withColumn("kept", kept)
 
 
+def decide(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", checkpoint: str | None = None) -> DataFrame:
+    """A row for each document: id, digest, keep (id and locator), copies, kept, and its own locator.
+
+    checkpoint: keep the state there; by default it lives in the shared scratch folder.
+    """
+    return _decide(placed(docs, id_col, text_col), checkpoint)
+
+
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that stay, with all their columns."""
-    place = located(docs, *docs.columns)
-    gone = decide(place, id_col, text_col).where("NOT kept").select("at_file", "at_row")
-    return place.join(gone, ["at_file", "at_row"], "left_anti").select(*docs.columns)
+    rows = located(docs)
+    gone = _decide(placed(rows, id_col, text_col), None).where("NOT kept").select(F.col("at_file").alias(FILE), F.col("at_row").alias(ROW))
+    return rows.join(gone, [FILE, ROW], "left_anti").select(*docs.columns)

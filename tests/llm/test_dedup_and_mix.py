@@ -41,7 +41,7 @@ def test_state_outlives_a_run(spark, tmp_path):
     checkpoint = f"file://{tmp_path}/state"
     df = spark.createDataFrame(ROWS, SCHEMA)
     folder = f"file://{tmp_path}/digests"
-    found = dedup_exact.digests(df)
+    found = dedup_exact.digests(dedup_exact.placed(df))
     found.write.parquet(folder)
     dedup_exact.ingest(spark, folder, found.schema, checkpoint)
     first = {r["digest"]: r["copies"] for r in dedup_exact.state_table(spark, checkpoint).collect()}

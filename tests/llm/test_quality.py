@@ -53,8 +53,9 @@ def test_estimate_resists_outliers(spark):
     cut = qr.chi2_quantile(qr.P, 1 - qr.CUTOFF_TAIL)
     assert all(d2[i] > cut for i in range(900, 1150)) and sum(d2[i] > cut for i in range(900)) <= 2
     plain = np.linalg.inv(np.cov(good.T))
+    # The inner share holds nearly all good rows here, so the correction for a normal distribution's inner share makes distances up to a third smaller.
     for i in range(0, 900, 90):
-        assert d2[i] == pytest.approx(good[i] @ plain @ good[i], rel=0.25, abs=0.4)
+        assert 0.6 * (x := good[i] @ plain @ good[i]) - 0.5 <= d2[i] <= 1.1 * x + 0.5
 
 
 def test_chi2_quantile():
