@@ -164,5 +164,11 @@ CATALOGUE: dict = {
     "plain_text_de": (plain("de"), plain_sql("de")),
     "plain_text_zh": (plain("zh"), plain_sql("zh")),
     "html_title": (lambda s, d: table(s, d, "pages").select("page_id", _title(F.col("html")).alias("title")), "SELECT page_id, nullif(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '') AS title FROM pages"),
+    "debug_text": (
+        lambda s, d: conv(s, d).select("id", fn.revision_text().alias("debug")),
+        f"""SELECT id, 'id:' || id || chr(10) || ' timestamp:' || timestamp_ms || chr(10) || ' page: title:' || title || chr(10) || 'id:' || page_id || chr(10) || 'isRedirect:' || is_redirect || ' ' || chr(10)
+ || ' contributor:' || coalesce('username:' || username || chr(10) || 'id:' || contributor_id, 'null') || ' ' || chr(10) || ' comment:' || comment || ' ' || chr(10)
+ || ' isMinor:' || is_minor || ' ' || chr(10) || ' text:' || text AS debug FROM ({FLAT_SQL})""",
+    ),
     "stream_scan": (stream_scan, FLAT_SQL),
 }

@@ -14,6 +14,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
+_folders: dict[str, str] = {}
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -30,8 +31,16 @@ def shared_root(spark: SparkSession) -> str:
 
 
 def scratch(spark: SparkSession, label: str) -> str:
-    """A new unused path below the shared folder."""
-    return f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
+    """A new unused path below the shared folder, in a folder of this session that goes when the driver ends."""
+    app = spark.sparkContext.applicationId
+    if app not in _folders:
+        folder = f"{shared_root(spark)}/folioscan-{app}-{uuid.uuid4().hex[:8]}"
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        store = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        store.mkdirs(path)
+        store.deleteOnExit(path)
+        _folders[app] = folder
+    return f"{_folders[app]}/{label}-{uuid.uuid4().hex}"
 
 
 def persist_table(df: DataFrame, label: str) -> DataFrame:
