@@ -22,7 +22,6 @@ looked at.
 
 from __future__ import annotations
 
-import json
 import re
 from dataclasses import dataclass
 
@@ -191,29 +190,51 @@ def _grams(words: Column) -> Column:
 
 
 def _near(c: Column, model: Model) -> Column:
-    """Whether an anchor stands in the text, as a word or a part of one with a dot, plus or hyphen."""
-    words = "|".join(re.escape(a) for a in model.anchors) or "(?!)"
-    return F.lower(c).rlike(rf"(?<![a-z0-9])(?:{words})(?![a-z0-9])")
+    """Whether an anchor stands in the text, as a word or a part of one with a dot, plus or hyphen.
+
+    What stands before the word is looked at first and words are told apart by
+    their first letter, so most characters of a text cost one comparison.
+    """
+    by_letter: dict[str, list[str]] = {}
+    for a in model.anchors:
+        by_letter.setdefault(a[0], []).append(re.escape(a[1:]))
+    words = "|".join(f"{first}(?:{'|'.join(rest)})" for first, rest in sorted(by_letter.items())) or "(?!)"
+    return F.concat(F.lit(" "), F.lower(c)).rlike(rf"[^a-z0-9](?:{words})(?![a-z0-9])")
+
+
+def _literal(value) -> str:
+    """A SQL literal; strings hold words, numbers and spaces alone."""
+    if isinstance(value, dict):
+        return "map(" + ", ".join(f"{_literal(k)}, {_literal(v)}" for k, v in value.items()) + ")"
+    if isinstance(value, list):
+        return "array(" + ", ".join(map(_literal, value)) + ")"
+    return f"'{value}'" if isinstance(value, str) else f"{value!r}D"
+
+
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.transform(F.array(value), body)[0]
 
 
 def notice(paragraph: Column, model: Model) -> Column:
     """Struct (family, probability, share) of a paragraph's likeliest family; family is unknown if that is the likeliest."""
-    grams = _grams(F.regexp_extract_all(F.lower(paragraph), F.lit(WORDS), F.lit(0)))
-    table = F.from_json(F.lit(json.dumps(model.weights)), "map<string, array<double>>")
-    add = lambda z, g: F.coalesce(F.zip_with(z, F.try_element_at(table, g), lambda x, y: x + y), z)
-    known = F.array_intersect(grams, F.map_keys(table))
-    logits = F.aggregate(known, F.array(*[F.lit(x) for x in model.bias]), add)
+    table = F.expr(_literal(model.weights))
     families = F.array(*[F.lit(f) for f in model.families])
-    templates = F.from_json(F.lit(json.dumps({f: [sorted(grams_of(words_of(t))) for t in ts] for f, ts in TEMPLATES.items()})), "map<string, array<array<string>>>")
+    templates = F.expr(_literal({f: [sorted(grams_of(words_of(t))) for t in ts] for f, ts in TEMPLATES.items()}))
+    add = lambda z, g: F.zip_with(z, F.try_element_at(table, g), lambda x, y: x + y)
+
+    def logits(grams: Column) -> Column:
+        return F.aggregate(F.array_intersect(grams, F.map_keys(table)), F.array(*[F.lit(x) for x in model.bias]), add)
 
-    def named(z: Column) -> Column:
+    def named(grams: Column, z: Column) -> Column:
         top = F.array_max(z)
         family = F.element_at(families, F.array_position(z, top).cast("int"))
         chance = 1 / F.aggregate(z, F.lit(0.0), lambda t, x: t + F.exp(x - top))
         share = F.array_max(F.transform(F.try_element_at(templates, family), lambda t: F.size(F.array_intersect(grams, t)) / F.greatest(F.lit(1), F.least(F.size(grams), F.size(t)))))
         return F.struct(family.alias("family"), chance.alias("probability"), F.coalesce(share, F.lit(0.0)).alias("share"))
 
-    return F.transform(F.array(logits), named)[0]
+    words = F.regexp_extract_all(F.lower(paragraph), F.lit(WORDS), F.lit(0))
+    return _let(words, lambda w: _let(_grams(w), lambda g: _let(logits(g), lambda z: named(g, z))))
 
 
 def scan(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
