@@ -43,6 +43,9 @@ def located(docs: DataFrame) -> DataFrame:
     if FILE in docs.columns:
         return docs
     place = (F.col("_metadata.file_path").alias(FILE), F.col("_metadata.row_index").alias(ROW))
+    if "_metadata" in docs.columns:  # a column of the table's own hides the place
+        stored = persist_table(docs.withColumnRenamed("_metadata", "folioscan_own"), "located")
+        return stored.select(*[F.col("folioscan_own").alias(c) if c == "_metadata" else F.col(c) for c in docs.columns], *place)
     try:
         return docs.select(*docs.columns, *place)
     except AnalysisException:

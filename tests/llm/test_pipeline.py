@@ -67,3 +67,22 @@ def test_stages(spark, sf_dir, tmp_path):
 def test_run_is_the_stages(spark, sf_dir):
     assert cp.run(spark, sf_dir).columns[:7] == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
     assert 4 <= len(cp.STAGES) <= 5
+
+
+@pytest.mark.parametrize("n", [0, 9])
+def test_stages_on_odd_tables(spark, sf_dir, tmp_path, n):
+    """Nulls in every column, empty and long texts, repeated rows, columns whose names operators use themselves."""
+    prose = "It was the best of all the days that they had seen in the old town by the sea, and all were glad of it. "
+    rows = [
+        (1, None, None, None, "i", 1, 1.0), (None, prose, "en", "a", None, None, None), (2, "", "en", "a", "i", 1, 1.0), (3, prose * 3, "en", None, "i", 1, 1.0), (3, prose * 3, "en", None, "i", 1, 1.0),
+        (4, prose * 3000, "en", "b", "i", 1, 1.0), (5, prose * 3 + "x", "en", "b", "i", 1, 1.0), (None, None, None, None, None, None, None), (6, prose + "y z", None, "a", "i", 1, 1.0),
+    ][:n]
+    schema = "doc_id long, text string, lang string, source string, id string, size int, score double"
+    before = spark.createDataFrame(rows, schema)
+    for name, stage in cp.STAGES:
+        stage(spark, before, sf_dir).write.parquet(f"{tmp_path}/{n}{name}")
+        after = spark.read.parquet(f"{tmp_path}/{n}{name}")
+        if name != "packing":
+            assert after.columns == before.columns
+            before = after
+    assert (after.count() > 0) == (n > 0)
