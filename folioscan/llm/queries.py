@@ -39,6 +39,14 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages")).withColumnRenamed("id", "page_id").drop("target_uri")
 
 
+OP3_SQL = r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+b AS (SELECT page_id, octet_length(encode(h)) AS payload_bytes, unhex(sha1(h))::BIT::VARCHAR AS bits, min(page_id) OVER (PARTITION BY h) AS first FROM p)
+SELECT page_id, payload_bytes, CASE WHEN page_id > first THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id > first THEN first END AS refers_to,
+ list_aggregate(list_transform(range(32), lambda i: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[1 + 16 * bits[5 * i + 1]::INT + 8 * bits[5 * i + 2]::INT + 4 * bits[5 * i + 3]::INT + 2 * bits[5 * i + 4]::INT + bits[5 * i + 5]::INT]), 'string_agg', '') AS payload_digest
+FROM b"""
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model")).withColumnRenamed("id", "doc_id")
 
@@ -98,4 +106,4 @@ SELECT doc_id, size, source_size, target, CASE WHEN size > 0 THEN (whole + (bin
 FROM sized JOIN p ON sized.source IS NOT DISTINCT FROM p.source JOIN c ON sized.source IS NOT DISTINCT FROM c.source"""
 
 QUERIES = {"op1_packing": op1_packing, "op2_url_filter": op2_url_filter, "op3_warc": op3_warc, "op4_token_counts": op4_token_counts, "op5_license_scan": op5_license_scan, "op6_near_dedup": op6_near_dedup, "op7_quality_rules": op7_quality_rules, "op8_quality_classifier": op8_quality_classifier, "op9_exact_dedup": op9_exact_dedup, "op10_source_mix": op10_source_mix}
-ORACLES = {"op9_exact_dedup": OP9_SQL, "op10_source_mix": OP10_SQL}
+ORACLES = {"op3_warc": OP3_SQL, "op9_exact_dedup": OP9_SQL, "op10_source_mix": OP10_SQL}
