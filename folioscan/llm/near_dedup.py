@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from folioscan.llm.common import maybe_in
 from folioscan.llm.components import components
 from folioscan.llm.dartminhash import band_keys, signatures
-from folioscan.llm.textscan import Texts, mix64, slices, texts_of, windows_of, words_of
+from folioscan.llm.textscan import Texts, mix64, releasing, slices, texts_of, windows_of, words_of
 from folioscan.workspace import persist_table
 
 SHINGLE = 5
@@ -96,7 +96,7 @@ def sketch(docs: DataFrame, weighted: bool = False) -> DataFrame:
                 bands = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * BANDS), pa.array(keys.ravel()))
                 yield pa.RecordBatch.from_arrays([batch.column("id").slice(a, n), pa.array(np.diff(edge)), *digests, bands], ["id", "size", "d1", "d2", "bands"])
 
-    return docs.mapInArrow(run, "id long, size long, d1 long, d2 long, bands array<long>")
+    return docs.mapInArrow(releasing(run), "id long, size long, d1 long, d2 long, bands array<long>")
 
 
 def _sets(docs: DataFrame) -> DataFrame:
@@ -112,7 +112,7 @@ def _sets(docs: DataFrame) -> DataFrame:
                 sets = pa.ListArray.from_arrays(pa.array(edge), pa.array((hashes >> np.uint64(32)).astype(np.uint32).view(np.int32)))
                 yield pa.RecordBatch.from_arrays([batch.column("id").slice(a, b - a), sets], ["node", "shingles"])
 
-    return docs.mapInArrow(run, "node long, shingles array<int>")
+    return docs.mapInArrow(releasing(run), "node long, shingles array<int>")
 
 
 def _common(x: np.ndarray, y: np.ndarray) -> int:
@@ -137,7 +137,7 @@ def _check(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
                 keep[i] = common >= threshold * (len(x) + len(y) - common) - 1e-9
             yield pa.RecordBatch.from_arrays([batch.column(n).filter(pa.array(keep)) for n in ("a", "b")], ["a", "b"])
 
-    return both.mapInArrow(run, "a long, b long")
+    return both.mapInArrow(releasing(run), "a long, b long")
 
 
 def _lists(column) -> tuple[np.ndarray, np.ndarray]:

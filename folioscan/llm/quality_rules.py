@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioscan.llm.common import small_or_plain
-from folioscan.llm.textscan import IS_FIRST, IS_SPACE, Texts, per_text, slices, texts_of, windows_of, words_of
+from folioscan.llm.textscan import IS_FIRST, IS_SPACE, Texts, per_text, releasing, slices, texts_of, windows_of, words_of
 from folioscan.workspace import persist_table
 
 SYMBOLS = "#*$%&|<>"
@@ -111,7 +111,7 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
                 x = pa.FixedSizeListArray.from_arrays(pa.array(_features(c).ravel()), len(FEATURES)).cast(pa.list_(pa.float64()))
                 yield pa.RecordBatch.from_arrays([*head, *(pa.array(c[k].astype(np.int64)) for k in COUNTS), x], ["id", "lang", "source", *COUNTS, "x"])
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(releasing(run), schema)
 
 
 def _gamma_p(a: float, x: float) -> float:

@@ -8,13 +8,20 @@ is cut at white space, so memory is bounded by ``BLOCK`` and the number of words
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 
-BLOCK = 1 << 22
+BLOCK = 1 << 20
+
+try:
+    _libc = ctypes.CDLL("libc.so.6")
+    _libc.malloc_trim  # noqa: B018  raises where there is none
+except (OSError, AttributeError):
+    _libc = None
 
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -27,6 +34,25 @@ _BASE_INVERSE = pow(_BASE, -1, 1 << 64)
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
+def release() -> None:
+    """Give memory that is free again back to the system; workers live on between tasks, and others need it."""
+    pa.default_memory_pool().release_unused()
+    if _libc is not None:
+        _libc.malloc_trim(0)
+
+
+def releasing(run):
+    """An Arrow function that calls ``release`` when its task has ended."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return wrapped
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers in which every bit depends on all."""
     x = x ^ (x >> np.uint64(30))
@@ -93,6 +119,16 @@ class Words:
         return np.searchsorted(self.text, np.arange(n + 1))
 
 
+def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the bytes data[start:end] of each span; equal bytes have equal hashes anywhere."""
+    up, down = _power_tables(len(data) + 1)
+    sums = np.zeros(len(data) + 1, np.uint64)
+    values = _BYTE_VALUE[data]
+    values *= up[:-1]
+    np.cumsum(values, out=sums[1:])
+    return mix64((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+
+
 def _words_of_block(data: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """breaks: places at which a text begins."""
     space = IS_SPACE[data]
@@ -108,10 +144,7 @@ def _words_of_block(data: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, n
     before_gap[:-1] = space[1:]
     starts = np.flatnonzero(inside & (after_gap | new[:-1]))
     ends = np.flatnonzero(inside & (before_gap | new[1:])) + 1
-    up, down = _power_tables(len(data) + 1)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE_VALUE[data] * up[:-1], out=sums[1:])
-    return starts, ends, mix64((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    return starts, ends, hash_spans(data, starts, ends)
 
 
 def words_of(texts: Texts, a: int, b: int, block: int = BLOCK) -> Words:

@@ -25,10 +25,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from sentencepiece import sentencepiece_model_pb2
 
-from folioscan.llm.textscan import slices, texts_of
+from folioscan.llm.textscan import releasing, slices, texts_of
 from folioscan.llm.transducer import SPACE, Machine, TooManyStates
 
 LIMIT = 4096
+#: Bytes of text whose chunks run side by side.
+BLOCK = 1 << 21
 
 _machines: dict[bytes, tuple[Machine, sentencepiece.SentencePieceProcessor]] = {}
 
@@ -72,11 +74,11 @@ def count_tokens(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = texts_of(batch.column("text"))
-            for a, b in slices(texts):
+            for a, b in slices(texts, BLOCK):
                 data, at = texts.data[texts.offsets[a] : texts.offsets[b]].tobytes(), texts.offsets[a : b + 1] - texts.offsets[a]
                 n_tokens = count_texts(sent.value, [data[x:y] for x, y in zip(at[:-1], at[1:], strict=True)])
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("id").slice(a, b - a), pa.array(np.diff(at)), pa.array(n_tokens), pa.array(n_tokens > limit)], ["id", "n_bytes", "n_tokens", "over_limit"]
                 )
 
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, n_bytes long, n_tokens long, over_limit boolean")
+    return rows.mapInArrow(releasing(run), f"id {rows.schema['id'].dataType.simpleString()}, n_bytes long, n_tokens long, over_limit boolean")
