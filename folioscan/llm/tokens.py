@@ -16,6 +16,7 @@ result; other columns are not looked at.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -50,13 +51,32 @@ def compiled(model: bytes) -> tuple[Machine, sentencepiece.SentencePieceProcesso
     return _machines[model]
 
 
-def count_texts(model: bytes, texts: list[bytes]) -> np.ndarray:
+_CUT = re.compile(rb"(?<![ ])(?<!\xe2\x96\x81) (?=.)", re.DOTALL)
+
+
+def parts_of(text: bytes, size: int) -> list[bytes]:
+    """A long text in parts whose counts add up to its own.
+
+    Cuts are made at spaces that follow no space or space mark, where the
+    machine falls into step: the mark in front of the next part stands for the space.
+    """
+    out, at = [], 0
+    while len(text) - at > size and (cut := _CUT.search(text, at + size)):
+        out.append(text[at : cut.start()])
+        at = cut.start() + 1
+    return [*out, text[at:]]
+
+
+def count_texts(model: bytes, texts: list[bytes], size: int = BLOCK) -> np.ndarray:
+    """Tokens of each text."""
+    if any(len(t) > size for t in texts):
+        parts = [parts_of(t, size) for t in texts]
+        return np.array([sum(int(count_texts(model, [p], len(p))[0]) for p in ps) for ps in parts], np.int64)
     machine, library = compiled(model)
     points = np.frombuffer(b"".join(texts).decode().encode("utf-32-le"), "<u4")
     lengths = np.array([len(t.decode()) for t in texts], np.int64)
-    ends = np.cumsum(lengths)
     try:
-        return machine.count(machine.class_of[points], ends)
+        return machine.count(machine.class_of[points], np.cumsum(lengths))
     except TooManyStates:
         machine.clear()
         return np.array([len(library.encode(t.decode(), num_threads=1)) for t in texts], np.int64)

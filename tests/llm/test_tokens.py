@@ -27,6 +27,13 @@ def test_counts_equal_the_library():
     assert tokens.count_texts(MODEL, [x.encode() for x in t]).tolist() == [len(LIBRARY.encode(x)) for x in t]
 
 
+@pytest.mark.parametrize("size", [1, 3, 20])
+def test_long_texts_in_parts(size):
+    t = [x[:400] for x in texts()[::5]] + ["a ", "a  ", "▁ a", "a ▁ b", " a", "a b ", "  "]
+    assert tokens.count_texts(MODEL, [x.encode() for x in t], size).tolist() == [len(LIBRARY.encode(x)) for x in t]
+    assert max(map(len, tokens.parts_of(b"word " * 1000, 50))) < 60
+
+
 @pytest.mark.parametrize("chunk", [1, 7, 100])
 def test_maps_of_chunks_compose(chunk):
     import numpy as np
