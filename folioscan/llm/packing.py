@@ -31,6 +31,7 @@ import os
 import re
 import zlib
 from collections.abc import Iterator, Sequence
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -38,23 +39,28 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscan.llm.textscan import BLOCK, IS_SPACE, slices, texts_of
+from folioscan.llm.textscan import IS_SPACE, hash_spans, mix64, releasing, slices, texts_of
 
 TIERS = (512, 1024, 2048, 4096)
 SMALLEST = 64
 END_ID = 2
 STEP_WINDOWS = 16
 POOL_GROUPS = 8
-MEMO_WORDS = 800_000
-MEMO_BYTES = 32 << 20
+MEMO_WORDS = 300_000
+#: Bytes of text that are coded at once.
+BLOCK = 1 << 21
 
 
 #: The pre-tokenizer whose words are known here, after lower-casing; see ``WordEncoder``.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-#: Runs of letters and runs of other characters, in texts without ODD ones.
-_RUNS = re.compile(rb"(?:[a-z]|\xc3[\x80-\xbf])+|[^a-z\s\x80-\xff]+")
 #: Apostrophes (contractions), the beginning of special strings, and all beyond U+00FF or no letter.
 _ODD = re.compile(rb"['\xc2\xc4-\xff]|\xc3[\x97\xb7]|<\|")
+#: In texts without ODD ones: white space 0, letters (with their second bytes) 1, all else 2; and letters of ASCII lowered.
+_KIND = np.full(256, 2, np.uint8)
+_KIND[IS_SPACE] = 0
+_KIND[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0xC0), 0xC3]] = 1
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[0x41:0x5B] += 32
 
 
 class WordEncoder:
@@ -62,8 +68,9 @@ class WordEncoder:
 
     If the tokenizer lower-cases, drops white space and splits by ``SPLIT``, no
     token crosses white space, nor the border of a letter and another character
-    among ASCII and the letters up to U+00FF: those runs are coded once. Texts
-    with other characters are remembered by what stands between white space.
+    among ASCII and the letters up to U+00FF: those runs are coded once, and
+    found again by a 64-bit hash. Texts with other characters are remembered by
+    what stands between white space.
     Any other tokenizer codes whole texts.
     """
 
@@ -84,45 +91,75 @@ class WordEncoder:
         self._clear()
 
     def _clear(self) -> None:
-        self.memo: dict[bytes, int] = {b"": 0}  # no word is empty: this is the end of a document
+        self.memo: dict[int, int] = {}  # hash of a run or a word -> its place; 0 is the end of a document
         self.flat = np.array([self.end_id], np.uint32)
         self.offset = np.array([0], np.int64)
         self.length = np.array([1], np.int64)
-        self.bytes = 0
 
-    def _learn(self, words: list[bytes]) -> None:
-        if len(self.memo) > MEMO_WORDS or self.bytes > MEMO_BYTES:
+    def _places(self, hashes: np.ndarray, word_at) -> np.ndarray:
+        """Where the ids of each hash are; those not met before are coded by the library. word_at: bytes of the word at an index."""
+        if len(self.memo) > MEMO_WORDS:
             self._clear()
-        new = sorted(set(words).difference(self.memo))
-        coded = [np.array(x.ids, np.uint32) for x in self.library.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)]
-        lengths = np.array([len(x) for x in coded], np.int64)
-        self.memo |= dict(zip(new, range(len(self.length), len(self.length) + len(new)), strict=True))
-        self.offset = np.concatenate([self.offset, len(self.flat) + np.cumsum(lengths) - lengths])
-        self.length = np.concatenate([self.length, lengths])
-        self.flat = np.concatenate([self.flat, *coded])
-        self.bytes += sum(map(len, new))
-
-    def _words(self, text: bytes) -> list[bytes]:
-        return text.split() if _ODD.search(text) else _RUNS.findall(text.lower())
+        each, first, back = np.unique(hashes, return_index=True, return_inverse=True)
+        names = each.tolist()
+        found = np.fromiter(map(self.memo.get, names, repeat(-1)), np.int64, len(names))
+        new = np.flatnonzero(found < 0)
+        if len(new):
+            words = [word_at(i).decode() for i in first[new].tolist()]
+            coded = [np.array(x.ids, np.uint32) for x in self.library.encode_batch_fast(words, add_special_tokens=False)]
+            lengths = np.array([len(x) for x in coded], np.int64)
+            found[new] = len(self.length) + np.arange(len(new))
+            self.memo.update(zip(each[new].tolist(), found[new].tolist(), strict=True))
+            self.offset = np.concatenate([self.offset, len(self.flat) + np.cumsum(lengths) - lengths])
+            self.length = np.concatenate([self.length, lengths])
+            self.flat = np.concatenate([self.flat, *coded])
+        return found[back]
+
+    def _gather(self, places: np.ndarray, runs: np.ndarray) -> list[np.ndarray]:
+        """Ids of each text, which has so many ``runs``, closed by the end id."""
+        at = np.insert(places, np.cumsum(runs), 0)
+        lengths = self.length[at]
+        ends = np.cumsum(lengths)
+        ids = self.flat[np.repeat(self.offset[at] - (ends - lengths), lengths) + np.arange(int(ends[-1]))]
+        return np.split(ids, ends[np.cumsum(runs + 1) - 1][:-1])
+
+    def _plain(self, texts: list[bytes]) -> list[np.ndarray]:
+        """Texts without ODD ones: runs of letters and of other characters, found for all texts at once."""
+        data = np.frombuffer(b"".join(texts), np.uint8)
+        begins = np.cumsum([0, *map(len, texts[:-1])])
+        kind = _KIND[data]
+        edge = np.zeros(len(data) + 1, bool)
+        edge[1:-1] = kind[1:] != kind[:-1]
+        edge[begins] = True
+        edge[len(data)] = True
+        at = np.flatnonzero(edge)
+        starts, ends = at[:-1], at[1:]
+        some = kind[starts] != 0
+        starts, ends = starts[some], ends[some]
+        hashes = hash_spans(_LOWER[data], starts, ends)
+        places = self._places(hashes, lambda i: data[starts[i] : ends[i]].tobytes())
+        return self._gather(places, np.diff(np.searchsorted(starts, np.append(begins, len(data)))))
+
+    def _by_space(self, text: bytes) -> np.ndarray:
+        """Any text: what stands between white space."""
+        words = text.split()
+        data = np.frombuffer(b"".join(words), np.uint8)
+        ends = np.cumsum([len(w) for w in words], dtype=np.int64)
+        starts = ends - np.array([len(w) for w in words], np.int64)
+        # Apart from the runs of plain texts, whose letters are lowered.
+        hashes = mix64(hash_spans(data, starts, ends) + np.uint64(1))
+        return self._gather(self._places(hashes, lambda i: words[i]), np.array([len(words)]))[0]
 
     def ids(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, each closed by the end id, and where each text ends."""
         if not self.by_word:
             coded = [np.array([*x.ids, self.end_id], np.uint32) for x in self.library.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
-            return np.concatenate([np.zeros(0, np.uint32), *coded]), np.cumsum([len(x) for x in coded])
-        words: list[bytes] = []
-        for t in texts:
-            words += self._words(t)
-            words.append(b"")
-        try:
-            at = np.fromiter(map(self.memo.__getitem__, words), np.int64, len(words))
-        except KeyError:
-            self._learn(words)
-            at = np.fromiter(map(self.memo.__getitem__, words), np.int64, len(words))
-        lengths = self.length[at]
-        ends = np.cumsum(lengths)
-        ids = self.flat[np.repeat(self.offset[at] - (ends - lengths), lengths) + np.arange(int(ends[-1]) if len(ends) else 0)]
-        return ids, ends[at == 0]
+        else:
+            odd = [bool(_ODD.search(t)) for t in texts]
+            plain = [t for t, o in zip(texts, odd, strict=True) if not o]
+            rest = iter(self._plain(plain) if plain else [])
+            coded = [self._by_space(t) if o else next(rest) for t, o in zip(texts, odd, strict=True)]
+        return np.concatenate([np.zeros(0, np.uint32), *coded]), np.cumsum([len(x) for x in coded], dtype=np.int64)
 
 
 _encoders: dict[tuple[str, int], WordEncoder] = {}
@@ -263,7 +300,7 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
 
         for batch in batches:
             texts, names = texts_of(batch.column("text")), batch.column("id").to_pylist()
-            for a, b in slices(texts):
+            for a, b in slices(texts, BLOCK):
                 at = texts.offsets[a : b + 1]
                 parts = [texts.data[x:y].tobytes() for x, y in zip(at[:-1], at[1:], strict=True)]
                 if encoder.by_word and len(parts) == 1 and len(parts[0]) > BLOCK:
@@ -278,4 +315,4 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
         packer.finish()
         yield flush()
 
-    return rows.mapInArrow(run, f"doc_id {'bigint' if out_type == pa.int64() else 'string'}, " + ", ".join(f"{n} bigint" for n in NAMES[1:]))
+    return rows.mapInArrow(releasing(run), f"doc_id {'bigint' if out_type == pa.int64() else 'string'}, " + ", ".join(f"{n} bigint" for n in NAMES[1:]))
