@@ -31,7 +31,6 @@ import os
 import re
 import zlib
 from collections.abc import Iterator, Sequence
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -46,7 +45,8 @@ SMALLEST = 64
 END_ID = 2
 STEP_WINDOWS = 16
 POOL_GROUPS = 8
-MEMO_WORDS = 300_000
+#: Some 50 bytes each.
+MEMO_WORDS = 1_200_000
 #: Bytes of text that are coded at once.
 BLOCK = 1 << 21
 
@@ -91,25 +91,28 @@ class WordEncoder:
         self._clear()
 
     def _clear(self) -> None:
-        self.memo: dict[int, int] = {}  # hash of a run or a word -> its place; 0 is the end of a document
+        #: Hashes of runs and words, sorted, and their places; place 0 is the end of a document.
+        self.known, self.place = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self.flat = np.array([self.end_id], np.uint32)
         self.offset = np.array([0], np.int64)
         self.length = np.array([1], np.int64)
 
     def _places(self, hashes: np.ndarray, word_at) -> np.ndarray:
         """Where the ids of each hash are; those not met before are coded by the library. word_at: bytes of the word at an index."""
-        if len(self.memo) > MEMO_WORDS:
+        if len(self.known) > MEMO_WORDS:
             self._clear()
         each, first, back = np.unique(hashes, return_index=True, return_inverse=True)
-        names = each.tolist()
-        found = np.fromiter(map(self.memo.get, names, repeat(-1)), np.int64, len(names))
-        new = np.flatnonzero(found < 0)
+        at = np.searchsorted(self.known, each)
+        inside = np.minimum(at, max(0, len(self.known) - 1))
+        met = self.known[inside] == each if len(self.known) else np.zeros(len(each), bool)
+        found = self.place[inside] if len(self.known) else np.zeros(len(each), np.int64)
+        new = np.flatnonzero(~met)
         if len(new):
             words = [word_at(i).decode() for i in first[new].tolist()]
             coded = [np.array(x.ids, np.uint32) for x in self.library.encode_batch_fast(words, add_special_tokens=False)]
             lengths = np.array([len(x) for x in coded], np.int64)
             found[new] = len(self.length) + np.arange(len(new))
-            self.memo.update(zip(each[new].tolist(), found[new].tolist(), strict=True))
+            self.known, self.place = np.insert(self.known, at[new], each[new]), np.insert(self.place, at[new], found[new])
             self.offset = np.concatenate([self.offset, len(self.flat) + np.cumsum(lengths) - lengths])
             self.length = np.concatenate([self.length, lengths])
             self.flat = np.concatenate([self.flat, *coded])

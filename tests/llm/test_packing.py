@@ -100,7 +100,7 @@ def test_memory_of_words_is_bounded(monkeypatch):
         texts = [f"w{k}x{i} z" for i in range(40)]
         ids, ends = enc.ids([t.encode() for t in texts])
         assert [list(map(int, x)) for x in np.split(ids, ends[:-1])] == library_ids(texts)
-        assert len(enc.memo) < 250
+        assert len(enc.known) < 250
 
 
 def test_tiers_are_checked():
