@@ -26,10 +26,12 @@ from __future__ import annotations
 import numpy as np
 
 SPACE = "▁"
-COLUMNS = 192
+COLUMNS = 128
 CHUNK = 1024
 #: States beyond which the table is compiled afresh before the next texts.
 MAX_STATES = 1 << 17
+#: Pairs of tokens that are remembered while states are compiled.
+MAX_PAIRS = 150_000
 ANY = -1
 FEW = 10
 
@@ -256,6 +258,8 @@ class Machine:
         """
         if len(self.keys) > self.max_states:
             self.clear()
+        if len(self._fits) > MAX_PAIRS:
+            self._fits.clear()
         seen = np.bincount(classes, minlength=self.n_classes)
         for cls in np.argsort(-seen, kind="stable")[: COLUMNS - self.columns].tolist():
             if seen[cls] and self.column_of[cls] < 0:
