@@ -101,6 +101,30 @@ class Model:
         return dict(zip(self.families, (p / p.sum()).tolist(), strict=True))
 
 
+class _Sparse:
+    """A matrix of zeros and ones by the places of its ones."""
+
+    def __init__(self, rows: list[list[int]], width: int):
+        self.shape = (len(rows), width)
+        self.row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+        self.column = np.array([c for r in rows for c in r], np.int64)
+        self.by_column = np.argsort(self.column, kind="stable")
+        self.rows, self.row_starts = np.unique(self.row, return_index=True)
+        self.columns, self.column_starts = np.unique(self.column[self.by_column], return_index=True)
+
+    def times(self, w: np.ndarray) -> np.ndarray:
+        out = np.zeros((self.shape[0], w.shape[1]))
+        if len(self.rows):
+            out[self.rows] = np.add.reduceat(w[self.column], self.row_starts)
+        return out
+
+    def transposed(self, d: np.ndarray) -> np.ndarray:
+        out = np.zeros((self.shape[1], d.shape[1]))
+        if len(self.columns):
+            out[self.columns] = np.add.reduceat(d[self.row[self.by_column]], self.column_starts)
+        return out
+
+
 def _softmax(z: np.ndarray) -> np.ndarray:
     e = np.exp(z - z.max(1, keepdims=True))
     return e / e.sum(1, keepdims=True)
@@ -115,7 +139,7 @@ def train(paragraphs: list[str], families: dict[str, list[str]] = TEMPLATES) ->
     """paragraphs: of the corpus; those that resemble a template are left out of the unknown."""
     rng = np.random.default_rng(SEED)
     names = [*sorted(families), UNKNOWN]
-    other = [w for p in paragraphs for w in words_of(p)] or ["the", "of", "and"]
+    other = np.array([w for p in paragraphs for w in words_of(p)] or ["the", "of", "and"])
     rows: list[tuple[set[str], int]] = []
     for k, name in enumerate(names[:-1]):
         for t in families[name]:
@@ -129,31 +153,33 @@ def train(paragraphs: list[str], families: dict[str, list[str]] = TEMPLATES) ->
                 rows.append((grams_of([*around[:cut], *words[a : a + n], *around[cut:]]), k))
     templates = [grams_of(words_of(t)) for ts in families.values() for t in ts]
     everything = [w for ts in families.values() for t in ts for w in words_of(t)]
+    loose = np.array([*everything, *other[: len(everything)].tolist()])
     none = len(names) - 1
     for p in paragraphs:
         g = grams_of(words_of(p))
         if not any(len(g & t) >= 0.5 * min(len(g), len(t)) for t in templates):
             rows.append((g, none))
     for _ in range(len(rows) // 4):  # words of templates out of order tell nothing
-        rows.append((grams_of([str(x) for x in rng.choice([*everything, *other[: len(everything)]], int(rng.integers(1, 12)))]), none))
+        rows.append((grams_of([str(x) for x in rng.choice(loose, int(rng.integers(1, 12)))]), none))
     vocabulary = sorted({g for t in templates for g in t if not set(g.split()) <= COMMON})
     place = {g: i for i, g in enumerate(vocabulary)}
-    x, y = np.zeros((len(rows), len(vocabulary)), np.float32), np.array([k for _, k in rows])
-    for i, (g, _) in enumerate(rows):
-        x[i, [place[w] for w in g if w in place]] = 1
+    y = np.array([k for _, k in rows])
     held = rng.random(len(rows)) < 0.25
-    w, b = np.zeros((len(vocabulary), len(names)), np.float32), np.zeros(len(names), np.float32)
+    inside = [[place[w] for w in sorted(g) if w in place] for g, _ in rows]
+    learn, check = _Sparse([x for x, h in zip(inside, held, strict=True) if not h], len(vocabulary)), _Sparse([x for x, h in zip(inside, held, strict=True) if h], len(vocabulary))
+    w, b = np.zeros((len(vocabulary), len(names))), np.zeros(len(names))
     weight = (1 / np.bincount(y[~held], minlength=len(names)).clip(1))[y[~held]]
-    weight = (weight / weight.sum()).astype(np.float32)
-    xt, target = x[~held], np.eye(len(names), dtype=np.float32)[y[~held]]
+    weight /= weight.sum()
+    target = np.eye(len(names))[y[~held]]
     for step in range(STEPS):  # proximal gradient: small weights become zero
-        d = (_softmax(xt @ w + b) - target) * weight[:, None]
+        d = (_softmax(learn.times(w) + b) - target) * weight[:, None]
         rate = 4.0 / (1 + step / 200)
-        w -= rate * (xt.T @ d)
+        w -= rate * learn.transposed(d)
         b -= rate * d.sum(0)
         w = np.sign(w) * np.maximum(np.abs(w) - rate * PENALTY, 0)
-    best = min((-np.log(_softmax((x[held] @ w + b) / t)[np.arange(held.sum()), y[held]] + 1e-12).mean(), t) for t in np.geomspace(0.2, 3, 40))
-    w, b = w.astype(float) / best[1], b.astype(float) / best[1]
+    z = check.times(w) + b
+    best = min((-np.log(_softmax(z / t)[np.arange(len(z)), y[held]] + 1e-12).mean(), t) for t in np.geomspace(0.2, 3, 40))
+    w, b = w / best[1], b / best[1]
     kept = np.flatnonzero(np.abs(w).sum(1) > 0)
     # A family must reach the least probability against unknown alone; features in order of what they can add at most.
     need = np.log(LEAST_PROBABILITY / (1 - LEAST_PROBABILITY)) - (b[:-1] - b[none])
