@@ -46,9 +46,9 @@ END_ID = 2
 STEP_WINDOWS = 16
 POOL_GROUPS = 8
 #: Some 50 bytes each.
-MEMO_WORDS = 1_200_000
+MEMO_WORDS = 800_000
 #: Bytes of text that are coded at once.
-BLOCK = 1 << 21
+BLOCK = 1 << 20
 
 
 #: The pre-tokenizer whose words are known here, after lower-casing; see ``WordEncoder``.
