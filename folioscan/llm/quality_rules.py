@@ -9,9 +9,18 @@ groups of any size are summed by parts, and nothing of a document but its
 vector is read again. A document beyond the cutoff of the chi-squared
 distribution is rejected.
 
+The statistics vary from text to text in clean text too, so their covariance is
+estimated, not assumed. Shares by word are taken as if the text went on for
+``SMOOTH_WORDS`` words at the table's medians, so short texts do not vary more
+than long ones; duplicate lines are log odds, which keep their reach at any
+length. The logarithm of the number of words is a coordinate of the estimate, and
+the verdict is on the others given it, so no text is rejected for its length; nor
+is any for having fewer duplicate lines than its length lets expect.
+
 A group's covariance is blended with that of all groups as if the latter stood
-for ``PRIOR_ROWS`` documents, and each coordinate has a least spread, so tiny
-groups and constant coordinates give finite distances.
+for ``PRIOR_ROWS`` documents, and to that of all groups the spreads in
+``FEATURES`` are added with the weight of one document, so tiny tables and
+constant coordinates give finite distances.
 
 Defined results: null text has no words and fails the base rules; null
 languages and sources are groups of their own; repeated rows are judged alike;
@@ -30,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioscan.llm.common import small_or_plain
-from folioscan.llm.textscan import IS_FIRST, IS_SPACE, Texts, per_text, releasing, slices, texts_of, windows_of, words_of
+from folioscan.llm.textscan import IS_FIRST, IS_SPACE, Texts, Words, per_text, releasing, slices, texts_of, windows_of, words_of
 from folioscan.workspace import persist_table
 
 SYMBOLS = "#*$%&|<>"
@@ -40,19 +49,48 @@ MAX_REPEAT_PERCENT = 30
 SUPPORT = 0.75
 STEPS = 6
 PRIOR_ROWS = 40
+SMOOTH_WORDS = 100
+NEAR_WORDS = 100
 CUTOFF_TAIL = 1e-6
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-#: Coordinates and the least spread that each is given.
-FEATURES = {"word_length": 0.12, "symbols": 0.25, "dup_lines": 0.35, "repeats": 0.35}
+#: What the coordinates are made of besides: lines with words, marks (ASCII that is no letter, digit or space), words that stand among the ``NEAR_WORDS`` before them.
+BASES = ["n_lines", "n_marks", "n_near_words"]
+#: Coordinates and the spread that each is given with the weight of one document.
+FEATURES = {"length": 1.0, "word_length": 0.12, "marks": 0.25, "dup_lines": 0.35, "near_words": 0.35}
+GIVEN, ONE_SIDED = list(FEATURES).index("length"), list(FEATURES).index("dup_lines")
 
 _IS_SYMBOL = np.zeros(256, bool)
 _IS_SYMBOL[[ord(c) for c in SYMBOLS]] = True
+_IS_MARK = np.zeros(256, bool)
+_IS_MARK[[b for b in range(33, 127) if not chr(b).isalnum()]] = True
 
 
-def _dup_lines(data: bytes) -> int:
+def _lines(data: bytes) -> tuple[int, int]:
+    """Lines with words, and how many of them stood before."""
     lines = [x for x in data.split(b"\n") if x.strip()]  # bytes.strip() takes just this white space
-    return len(lines) - len(set(lines))
+    return len(lines), len(lines) - len(set(lines))
+
+
+def _near_words(words: Words, starts: np.ndarray) -> np.ndarray:
+    """For each word of a run of texts, whether its text has it among the ``NEAR_WORDS`` words before.
+
+    Before a text's first word stands its last, so that a text's length has no part in it.
+    """
+    near = np.zeros(len(words.hash), bool)
+    if not len(near):
+        return near
+    key = words.hash ^ (words.text.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    order = np.argsort(key, kind="stable")
+    ranked = key[order]
+    first = np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1]))
+    last = np.append(first[1:], len(key)) - 1
+    gap = np.diff(order, prepend=0)
+    gap[first] = order[first] + np.diff(starts)[words.text[order[first]]] - order[last]
+    alone = first[first == last]
+    gap[alone] = NEAR_WORDS + 1
+    near[order[gap <= NEAR_WORDS]] = True
+    return near
 
 
 def _repeat_words(text: np.ndarray, hashes: np.ndarray, first: np.ndarray, n_words: int) -> np.ndarray:
@@ -82,25 +120,36 @@ def counts_of(texts: Texts, a: int, b: int) -> dict[str, np.ndarray]:
     repeated = np.zeros(len(words.hash) + 1, np.int64)
     if len(first):
         np.cumsum(_repeat_words(words.text, hashes, first, len(words.hash)), out=repeated[1:])
+    near = np.zeros(len(words.hash) + 1, np.int64)
+    np.cumsum(_near_words(words, starts), out=near[1:])
+    lines = np.array([_lines(data[x:y].tobytes()) for x, y in zip(offsets[:-1], offsets[1:], strict=True)], np.int64).reshape(-1, 2)
     return {
         "n_words": np.diff(starts),
         "word_chars": per_text(IS_FIRST[data] & ~IS_SPACE[data], offsets),
         "n_symbols": per_text(_IS_SYMBOL[data], offsets),
-        "n_dup_lines": np.array([_dup_lines(data[x:y].tobytes()) for x, y in zip(offsets[:-1], offsets[1:], strict=True)], np.int64),
+        "n_dup_lines": lines[:, 1],
         "n_repeat_words": repeated[starts[1:]] - repeated[starts[:-1]],
+        "n_lines": lines[:, 0],
+        "n_marks": per_text(_IS_MARK[data], offsets),
+        "n_near_words": near[starts[1:]] - near[starts[:-1]],
     }
 
 
-def _features(c: dict[str, np.ndarray]) -> np.ndarray:
-    words = np.maximum(c["n_words"], 1)
-    lines = np.log1p(c["n_dup_lines"])
-    return np.stack([np.log((c["word_chars"] + 1) / words), np.log1p(10 * c["n_symbols"] / words), lines * np.minimum(1, 200 / words) ** 0.5, np.log1p(10 * c["n_repeat_words"] / words)], 1)
+def with_vector(rows: DataFrame) -> DataFrame:
+    """``rows`` (stored; at least a word each) with the statistic vector ``x``."""
+    shares = [F.col(c) / F.col("n_words") for c in ("word_chars", "n_marks", "n_near_words")]
+    typical = rows.agg(*[F.percentile_approx(c, 0.5, 10_000) for c in shares]).first()  # one row
+    usual = [F.lit(float(m or 0.0)) for m in typical]
+    # The half keeps the logarithm finite where a table's median is nought.
+    smooth = [F.log((F.col(c) + SMOOTH_WORDS * m + 0.5) / (F.col("n_words") + SMOOTH_WORDS)) for c, m in zip(("word_chars", "n_marks", "n_near_words"), usual, strict=True)]
+    odds = F.log((F.col("n_dup_lines") + 0.5) / (F.col("n_lines") - F.col("n_dup_lines") + 0.5))
+    return rows.withColumn("x", F.array(F.log(F.col("n_words").cast("double")), smooth[0], smooth[1], odds, smooth[2]))
 
 
 def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """A row for each document: id, lang, source, the counts, and the statistic vector ``x``."""
+    """A row for each document: id, lang, source, the counts, and ``BASES``."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(source_col).cast("string").alias("source"), F.col(text_col).cast("string").alias("text"))
-    schema = ", ".join([f"id {rows.schema['id'].dataType.simpleString()}", "lang string, source string", *(f"{c} long" for c in COUNTS), "x array<double>"])
+    schema = ", ".join([f"id {rows.schema['id'].dataType.simpleString()}", "lang string, source string", *(f"{c} long" for c in COUNTS + BASES)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -108,8 +157,7 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
             for a, b in slices(texts):
                 c = counts_of(texts, a, b)
                 head = [batch.column(k).slice(a, b - a) for k in ("id", "lang", "source")]
-                x = pa.FixedSizeListArray.from_arrays(pa.array(_features(c).ravel()), len(FEATURES)).cast(pa.list_(pa.float64()))
-                yield pa.RecordBatch.from_arrays([*head, *(pa.array(c[k].astype(np.int64)) for k in COUNTS), x], ["id", "lang", "source", *COUNTS, "x"])
+                yield pa.RecordBatch.from_arrays([*head, *(pa.array(c[k].astype(np.int64)) for k in COUNTS + BASES)], ["id", "lang", "source", *COUNTS, *BASES])
 
     return rows.mapInArrow(releasing(run), schema)
 
@@ -142,14 +190,18 @@ def _consistency() -> float:
     return SUPPORT / _gamma_p((P + 2) / 2, chi2_quantile(P, SUPPORT) / 2)
 
 
-def _estimates(moments: DataFrame, factor: float) -> DataFrame:
-    """Sums of each group to (lang, source, centre, inverse): a row in, a row out."""
-    floor = np.array(list(FEATURES.values())) ** 2
+def _estimates(moments: DataFrame, factor: float, given: int | None = None) -> DataFrame:
+    """Sums of each group to (lang, source, centre, inverse): a row in, a row out.
+
+    With ``given`` the inverse is that of the other coordinates once that one is known.
+    """
     within = [(F.sum(F.col(f"q{i}{j}") - F.col(f"s{i}") * F.col(f"s{j}") / F.col("n")) / F.sum("n")).alias(f"w{i}{j}") for i, j in PAIRS]
-    pooled = moments.agg(*within).first().asDict()  # the covariance within groups, over all: one row
+    pooled = moments.agg(F.sum("n").alias("n"), *within).first().asDict()  # the covariance within groups, over all: one row
     all2 = np.zeros((P, P))
     for i, j in PAIRS:
         all2[i, j] = all2[j, i] = pooled[f"w{i}{j}"] or 0.0
+    n = pooled["n"] or 0
+    all2 = (n * all2 + np.diag(np.array(list(FEATURES.values())) ** 2)) / (n + 1)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -160,10 +212,10 @@ def _estimates(moments: DataFrame, factor: float) -> DataFrame:
                 for i, j in PAIRS:
                     s2[i, j] = s2[j, i] = getattr(r, f"q{i}{j}") / r.n - mean[i] * mean[j]
                 cov = factor * (r.n * s2 + PRIOR_ROWS * all2) / (r.n + PRIOR_ROWS)
-                lift = np.sqrt(np.maximum(floor / np.maximum(np.diag(cov), 1e-12), 1))
-                # A coordinate below its least spread is lifted; the rest keeps its correlations.
-                cov = cov + np.diag(np.where(lift > 1, floor - np.diag(cov), 0))
-                out.append((r.lang, r.source, mean.tolist(), np.linalg.inv(cov).ravel().tolist()))
+                inverse = np.linalg.inv(cov)
+                if given is not None:
+                    inverse[given, given] -= 1 / cov[given, given]
+                out.append((r.lang, r.source, mean.tolist(), inverse.ravel().tolist()))
             yield pd.DataFrame(out, columns=["lang", "source", "centre", "inverse"])
 
     return moments.mapInPandas(run, "lang string, source string, centre array<double>, inverse array<double>")
@@ -174,20 +226,28 @@ def _moments(rows: DataFrame) -> DataFrame:
     return rows.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"), *[F.sum(x[i]).alias(f"s{i}") for i in range(P)], *[F.sum(x[i] * x[j]).alias(f"q{i}{j}") for i, j in PAIRS])
 
 
-def _distance(rows: DataFrame, estimates: DataFrame) -> DataFrame:
+def _distance(rows: DataFrame, estimates: DataFrame, one_sided: int | None = None) -> DataFrame:
+    """With ``d2``; what the coordinate ``one_sided`` falls short of, given the others, does not count."""
     near = small_or_plain(estimates.withColumnsRenamed({"lang": "l2", "source": "s2"}))
     joined = rows.join(near, F.col("lang").eqNullSafe(F.col("l2")) & F.col("source").eqNullSafe(F.col("s2"))).drop("l2", "s2")
     d = [F.col("x")[i] - F.col("centre")[i] for i in range(P)]
     terms = [d[i] * d[j] * F.col("inverse")[i * P + j] * (1 if i == j else 2) for i, j in PAIRS]
-    return joined.withColumn("d2", sum(terms[1:], terms[0])).drop("centre", "inverse")
+    d2 = sum(terms[1:], terms[0])
+    if one_sided is not None:
+        beyond = sum((d[j] * F.col("inverse")[one_sided * P + j] for j in range(P)), F.lit(0.0))
+        d2 = d2 - F.when(beyond < 0, beyond * beyond / F.col("inverse")[one_sided * P + one_sided]).otherwise(0.0)
+    return joined.withColumn("d2", d2).drop("centre", "inverse")
 
 
-def robust_distance(rows: DataFrame, steps: int = STEPS) -> DataFrame:
-    """``rows`` (stored; lang, source, x) with ``d2``, the squared robust distance to the centre of its group."""
+def robust_distance(rows: DataFrame, steps: int = STEPS, given: int | None = None, one_sided: int | None = None) -> DataFrame:
+    """``rows`` (stored; lang, source, x) with ``d2``, the squared robust distance to the centre of its group.
+
+    ``given``: the coordinate given which the others are judged. ``one_sided``: one that only counts above what is expected.
+    """
     x = [F.col("x")[i] for i in range(P)]
-    middle = rows.groupBy("lang", "source").agg(*[F.percentile_approx(x[i], F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 10_000).alias(f"p{i}") for i in range(P)])
-    floor = list(FEATURES.values())
-    spread = [F.greatest((F.col(f"p{i}")[2] - F.col(f"p{i}")[0]) / 1.349, F.lit(floor[i])) for i in range(P)]
+    middle = rows.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"), *[F.percentile_approx(x[i], F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 10_000).alias(f"p{i}") for i in range(P)])
+    assumed = list(FEATURES.values())
+    spread = [F.greatest((F.col(f"p{i}")[2] - F.col(f"p{i}")[0]) / 1.349, assumed[i] / F.sqrt("n")) for i in range(P)]
     inverse = F.array(*[(1 / (spread[i] * spread[i])) if i == j else F.lit(0.0) for i in range(P) for j in range(P)])
     estimates = persist_table(middle.select("lang", "source", F.array(*[F.col(f"p{i}")[1] for i in range(P)]).alias("centre"), inverse.alias("inverse")), "mcd-start")
     for step in range(steps):
@@ -196,8 +256,8 @@ def robust_distance(rows: DataFrame, steps: int = STEPS) -> DataFrame:
         near = small_or_plain(reach.withColumnsRenamed({"lang": "l3", "source": "s3"}))
         inner = placed.join(near, F.col("lang").eqNullSafe(F.col("l3")) & F.col("source").eqNullSafe(F.col("s3"))).where("d2 <= reach")
         moments = persist_table(_moments(inner), f"mcd-moments{step}")
-        estimates = persist_table(_estimates(moments, _consistency()), f"mcd-step{step}")
-    return _distance(rows, estimates)
+        estimates = persist_table(_estimates(moments, _consistency(), given if step == steps - 1 else None), f"mcd-step{step}")
+    return _distance(rows, estimates, one_sided)
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
@@ -208,7 +268,8 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     rows = persist_table(measure(docs, id_col, text_col, lang_col, source_col), "text-counts")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     rows = rows.withColumn("base_failed", failed)
-    judged = robust_distance(rows.where("NOT base_failed")).withColumn("kept", F.col("d2") <= chi2_quantile(P, 1 - CUTOFF_TAIL))
+    placed = robust_distance(with_vector(rows.where("NOT base_failed")), given=GIVEN, one_sided=ONE_SIDED)
+    judged = placed.withColumn("kept", F.col("d2") <= chi2_quantile(P - 1, 1 - CUTOFF_TAIL))
     names = ["id", *COUNTS, "base_failed", "d2", "kept"]
     lost = rows.where("base_failed").withColumns({"d2": F.lit(None).cast("double"), "kept": F.lit(False)})
     return judged.select(names).unionByName(lost.select(names))

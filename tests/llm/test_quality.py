@@ -72,6 +72,16 @@ def test_rules_keep_clean_documents(spark):
     assert kept[1] > 0.995 and kept[0] < 0.3
 
 
+def test_the_estimate_decides(spark, monkeypatch):
+    """The assumed spreads, ten times as large or a tenth, lead to the same verdicts."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    verdicts, assumed = [], qr.FEATURES
+    for times in (0.1, 10):
+        monkeypatch.setattr(qr, "FEATURES", {k: v * times for k, v in assumed.items()})
+        verdicts.append({r["id"]: r["kept"] for r in qr.judge(docs).select("id", "kept").collect()})
+    assert sum(v != verdicts[1][k] for k, v in verdicts[0].items()) <= 10
+
+
 def test_classifier_on_held_out_rows(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     rows = qc.score(docs, qc.fit(docs, labels)).join(labels, F.col("id") == F.col("doc_id")).collect()
