@@ -82,6 +82,30 @@ def test_the_estimate_decides(spark, monkeypatch):
     assert sum(v != verdicts[1][k] for k, v in verdicts[0].items()) <= 10
 
 
+def test_repeated_lines_count_at_any_length(spark):
+    """Short menu lines in random order, longer and longer; texts as long without repeated lines are kept."""
+    rng = random.Random(5)
+    vocabulary = ["".join(rng.choice("abcdefghijklmnoprstu") for _ in range(rng.randint(2, 9))) for _ in range(3000)]
+    word = lambda: vocabulary[min(int(rng.paretovariate(0.5)), 3000) - 1]
+
+    def prose(n):
+        lines = []
+        while n > 0:
+            k = min(n, rng.randint(20, 60))
+            lines.append(" ".join(word() + ("," if rng.random() < 0.1 else "") for _ in range(k)) + ".")
+            n -= k
+        return "\n".join(lines)
+
+    forms = [f"{rng.choice(vocabulary)} {rng.choice(vocabulary)}." for _ in range(60)]
+    lengths = [2_000, 5_000, 20_000, 100_000]
+    texts = [prose(int(rng.lognormvariate(5.6, 0.9)) + 20) for _ in range(1500)]
+    texts += ["\n".join(rng.choice(forms) for _ in range(n // 2)) for n in lengths] + [prose(n) for n in lengths]
+    df = spark.createDataFrame([(i, t, "en", "s") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string")
+    kept = {r["id"]: (r["kept"], r["base_failed"]) for r in qr.judge(df).collect()}
+    assert sum(kept[i][0] for i in range(1500)) >= 1490
+    assert [kept[1500 + i] for i in range(8)] == [(False, False)] * 4 + [(True, False)] * 4
+
+
 def test_classifier_on_held_out_rows(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     rows = qc.score(docs, qc.fit(docs, labels)).join(labels, F.col("id") == F.col("doc_id")).collect()
