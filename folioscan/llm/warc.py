@@ -18,7 +18,8 @@ makes a new one at each call. Frames of the format ``warc`` serve any number.
 
 Defined results: null payloads are empty; empty payloads are payloads like any
 other; rows without an id are always responses, as are all rows that repeat the
-least id; null addresses leave the header out; an empty table gives an archive
+least id; an id with several payloads has a record for each of its rows, judged by
+that row's payload; null addresses leave the header out; an empty table gives an archive
 without records; other columns are not looked at.
 """
 
@@ -82,19 +83,24 @@ def _store(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
 
 
-def revisits(pages: DataFrame, id_col: str, payload_col: str, least_bytes: int = 0) -> DataFrame:
-    """(id, refers_to) of the pages whose payload a page with a lesser id has."""
+def _payload_key(payload_col: str) -> list[Column]:
     text = F.coalesce(F.col(payload_col).cast("string"), F.lit(""))
-    rows = pages.select(F.col(id_col).alias("id"), F.sha1(text.cast("binary")).alias("sha"), F.octet_length(text).alias("size")).where(F.col("id").isNotNull() & (F.col("size") >= least_bytes))
+    return [F.sha1(text.cast("binary")).alias("sha"), F.octet_length(text).alias("size")]
+
+
+def revisits(pages: DataFrame, id_col: str, payload_col: str, least_bytes: int = 0) -> DataFrame:
+    """(id, sha, size, refers_to) of the payloads that a page with a lesser id has."""
+    rows = pages.select(F.col(id_col).cast("long").alias("id"), *_payload_key(payload_col)).where(F.col("id").isNotNull() & (F.col("size") >= least_bytes))
     rows = persist_table(rows, "payload-digests")
     first = rows.groupBy("sha", "size").agg(F.min("id").alias("refers_to"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    return rows.join(first, ["sha", "size"]).where("id <> refers_to").select("id", "refers_to")
+    return rows.join(first, ["sha", "size"]).where("id <> refers_to").select("id", "sha", "size", "refers_to")
 
 
 def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least_bytes: int = 0) -> DataFrame:
     """Write the archive; returns its stored manifest (file, records, bytes). Ids are integers."""
     again = persist_table(revisits(pages, id_col, payload_col, least_bytes).distinct(), "revisits")
-    rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), F.col(payload_col).cast("string").alias("payload")).join(small_or_plain(again), "id", "left")
+    rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), F.col(payload_col).cast("string").alias("payload"), *_payload_key(payload_col))
+    rows = rows.join(small_or_plain(again), ["id", "sha", "size"], "left").select("id", "url", "payload", "refers_to")
     target, path = _store(folder)
     target.create_dir(path)
 

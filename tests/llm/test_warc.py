@@ -37,6 +37,12 @@ def test_round_trip(spark):
     assert warc.round_trip(spark.createDataFrame([], SCHEMA)).collect() == []
 
 
+def test_one_id_with_two_payloads(spark):
+    rows = [(3, "u", "B", 1), (5, "u", "A", 1), (5, "u", "B", 1), (6, "u", "C", 1), (2, "u", "D", 1), (7, "u", "D", 1), (7, "u", "B", 1)]
+    got = [tuple(r)[:5] for r in warc.round_trip(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()]
+    assert sorted(got, key=str) == brute(rows)
+
+
 def test_query_round_trip(spark):
     from folioscan.llm.queries import op3_warc
 
