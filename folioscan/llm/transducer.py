@@ -13,12 +13,12 @@ at every word.
 
 States are compiled when first met and kept in a dense table. Texts are cut
 into chunks that run side by side, one array operation for a character of each.
-A chunk maps the state before it to the state after it and a count. Behind the
-first place at which the machine falls into step that map is constant, so only
-the head before it waits for the chunk on the left: maps are composed by a
-prefix scan, in which the composition of a constant map with any map is
-constant, so one round of heads settles all chunks but those without such a
-place, and each of these settles once its left neighbour has.
+Behind the first place in a chunk at which the machine falls into step, the state
+before the chunk has no say, so only the head before that place waits for the
+chunk on the left, and one round of heads settles all such chunks. No maps over
+states are built or composed: a chunk without such a place is run as a whole once
+its left neighbour has settled, one a round, so long texts without spaces run
+serially.
 """
 
 from __future__ import annotations
