@@ -159,3 +159,27 @@ def test_library_does_not_need_the_subpackage():
             if name.endswith(".py"):
                 with open(os.path.join(folder, name)) as f:
                     assert not re.search(r"folioscan\.llm|from \.+llm", f.read()), name
+
+
+def test_scratch_needs_a_shared_folder_on_a_cluster(monkeypatch):
+    from types import SimpleNamespace
+
+    from folioscan import workspace
+
+    def session(master):
+        conf = SimpleNamespace(get=lambda key, default: default)
+        return SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(getCheckpointDir=lambda: None, master=master, applicationId=master))
+
+    for master in ("yarn", "spark://host:7077", "local-cluster[2,1,1024]", "k8s://https://host"):
+        with pytest.raises(ValueError, match="checkpoint.dir"):
+            workspace.shared_root(session(master))
+    assert workspace.shared_root(session("local[4]")).startswith("file://") and workspace.shared_root(session("local")).startswith("file://")
+
+
+def test_write_once_keeps_what_is_complete(spark, tmp_path):
+    from folioscan.workspace import write_once
+
+    path = f"file://{tmp_path}/t"
+    assert write_once(spark.range(3), path).count() == 3 and write_once(spark.range(9), path).count() == 3
+    os.remove(tmp_path / "t" / "_SUCCESS")
+    assert write_once(spark.range(9), path).count() == 9
