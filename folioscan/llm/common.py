@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioscan.workspace import persist_table
+from folioscan.workspace import persist_table, write_once
 
 #: The white space that separates words, U+0020 and U+0009 to U+000D.
 WHITE_SPACE = " \t\n\x0b\f\r"
@@ -14,6 +16,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 #: Rows up to which a table counts as proven small enough to broadcast.
 BROADCAST_ROWS = 20_000
+#: Parts over which joins deal the rows of a key that may be hot.
+PARTS = 8
 
 
 def text_of(text: str = "text") -> Column:
@@ -34,22 +38,23 @@ def word_count(c: Column) -> Column:
 FILE, ROW = "folioscan_file", "folioscan_row"
 
 
-def located(docs: DataFrame) -> DataFrame:
+def located(docs: DataFrame, path: str | None = None) -> DataFrame:
     """``docs`` with each row's place, (``FILE``, ``ROW``); as it is if it has them already.
 
-    Tables read from files have such places. Any other input is written to the
-    shared folder first, so that a row keeps its place whenever it is computed.
+    Tables read from files have such places. Any other input is written first, to
+    ``path`` or the shared folder, so that a row keeps its place whenever it is computed.
     """
     if FILE in docs.columns:
         return docs
+    store = lambda d: write_once(d, path) if path else persist_table(d, "located")
     place = (F.col("_metadata.file_path").alias(FILE), F.col("_metadata.row_index").alias(ROW))
     if "_metadata" in docs.columns:  # a column of the table's own hides the place
-        stored = persist_table(docs.withColumnRenamed("_metadata", "folioscan_own"), "located")
+        stored = store(docs.withColumnRenamed("_metadata", "folioscan_own"))
         return stored.select(*[F.col("folioscan_own").alias(c) if c == "_metadata" else F.col(c) for c in docs.columns], *place)
     try:
         return docs.select(*docs.columns, *place)
     except AnalysisException:
-        return persist_table(docs, "located").select(*docs.columns, *place)
+        return store(docs).select(*docs.columns, *place)
 
 
 def small_or_plain(table: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -57,14 +62,28 @@ def small_or_plain(table: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(table) if table.limit(rows + 1).count() <= rows else table
 
 
-def maybe_in(rows: DataFrame, key: str, wanted: DataFrame, places: int = 1 << 20) -> DataFrame:
-    """``rows`` without most of those whose ``key`` (an integer) is not among the keys of ``wanted``.
+def maybe_in(rows: DataFrame, keys: str | Sequence[str], wanted: DataFrame, places: int = 1 << 26) -> DataFrame:
+    """``rows`` without most of those whose ``keys`` are not among those of ``wanted``.
+
+    Keys are hashed to ``places`` bits, of which words of 64 that hold any are
+    broadcast: at most 2^20 rows of two numbers. Of the rows to be left out a
+    share of about len(wanted) / places stays: an exact join has to follow where
+    that matters, but it moves far fewer rows while wanted is small against
+    ``places``, and no more than before beyond that.
+    """
+    keys = [keys] if isinstance(keys, str) else list(keys)
+    place = F.pmod(F.xxhash64(*keys), F.lit(places))
+    word, bit = F.shiftright(place, 6), place.bitwiseAND(F.lit(63)).cast("int")
+    taken = wanted.select(word.alias("_word"), F.call_function("shiftleft", F.lit(1).cast("long"), bit).alias("_bits")).groupBy("_word").agg(F.bit_or("_bits").alias("_bits"))
+    met = rows.withColumns({"_word": word, "_bit": bit}).join(F.broadcast(taken), "_word")
+    return met.where(F.call_function("shiftright", F.col("_bits"), F.col("_bit")).bitwiseAND(F.lit(1)) == 1).select(*rows.columns)
+
+
+def dealt_join(rows: DataFrame, table: DataFrame, keys: Sequence[str], spread: Sequence[str], how: str = "inner", parts: int = PARTS) -> DataFrame:
+    """``rows`` joined with ``table``, the rows of each key dealt over ``parts`` by their columns ``spread``.
 
-    Keys are hashed to ``places``, and at most so many numbers are broadcast. Of
-    the rows to be left out a share of about len(wanted) / places stays: an
-    exact join has to follow, but it moves far fewer rows while wanted is small
-    against ``places``, and no more than before beyond that.
+    A key that a third of all rows have is met in ``parts`` tasks; ``table``, the narrow side with few rows a key, is repeated for each part.
     """
-    place = F.pmod(F.xxhash64(F.col(key).cast("long")), F.lit(places))
-    taken = wanted.select(place.alias("_place")).distinct()
-    return rows.withColumn("_place", place).join(F.broadcast(taken), "_place", "left_semi").drop("_place")
+    left = rows.withColumn("_part", F.pmod(F.xxhash64(*spread), F.lit(parts)).cast("int"))
+    right = table.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    return left.join(right, [*keys, "_part"], how).drop("_part")

@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from folioscan.llm.common import FILE, ROW, located, maybe_in, small_or_plain
+from folioscan.llm.common import FILE, ROW, dealt_join, located, maybe_in, small_or_plain
 from folioscan.llm.components import components
 
 
@@ -41,6 +41,14 @@ def test_maybe_in_loses_nothing(spark):
     assert maybe_in(rows, "k", wanted, places=1).count() == 5000  # full: everything passes
 
 
+def test_dealt_join_is_a_join(spark):
+    rows = spark.createDataFrame([(i, i % 7 if i % 3 else 0) for i in range(500)] + [(501, None)], "i long, k int")
+    table = spark.createDataFrame([(k, f"v{k}") for k in range(5)], "k int, v string")
+    for how in ("inner", "left", "left_semi"):
+        want = rows.join(table, "k", how)
+        assert sorted(map(str, dealt_join(rows, table, ["k"], ["i"], how).select(want.columns).collect())) == sorted(map(str, want.collect()))
+
+
 def test_places_are_stable(spark, tmp_path):
     df = spark.createDataFrame([(i, "x") for i in range(50)], "doc_id long, _metadata string").repartition(3)
     rows = located(df)

@@ -18,7 +18,7 @@ SCHEMA = "doc_id long, text string, digest int"
 def brute(rows):
     groups = {}
     for k, (i, t, _) in enumerate(rows):
-        groups.setdefault("".join(c for c in t or "" if c not in " \t\n\x0b\f\r"), []).append((-len(t or ""), i is None, i or 0, k))
+        groups.setdefault(norm(t), []).append((-len(t or ""), i is None, i or 0, k))
     return groups
 
 
@@ -37,17 +37,68 @@ def test_groups(spark):
     assert dedup_exact.decide(df.limit(0)).collect() == []
 
 
-def test_state_outlives_a_run(spark, tmp_path):
-    checkpoint = f"file://{tmp_path}/state"
-    df = spark.createDataFrame(ROWS, SCHEMA)
-    folder = f"file://{tmp_path}/digests"
-    found = dedup_exact.digests(dedup_exact.placed(df))
-    found.write.parquet(folder)
-    dedup_exact.ingest(spark, folder, found.schema, checkpoint)
-    first = {r["digest"]: r["copies"] for r in dedup_exact.state_table(spark, checkpoint).collect()}
-    found.write.mode("append").parquet(folder)
-    dedup_exact.ingest(spark, folder, found.schema, checkpoint)
-    assert {r["digest"]: r["copies"] for r in dedup_exact.state_table(spark, checkpoint).collect()} == {k: 2 * v for k, v in first.items()}
+def runs_by_hand(runs):
+    """For each run its (id, keep id, copies, kept), in plain Python; a best row is known by (run, place)."""
+    state, out = {}, []
+    for n, rows in enumerate(runs):
+        for k, (i, t, _) in enumerate(rows):
+            best, copies = state.get(norm(t), ((1,), 0))
+            state[norm(t)] = (min(best, (-len(t or ""), i is None, i or 0, n, k)), copies + 1)
+        out.append(sorted((str(i), str(rows_id(runs, state[norm(t)][0])), state[norm(t)][1], state[norm(t)][0][3:] == (n, k)) for k, (i, t, _) in enumerate(rows)))
+    return out
+
+
+def norm(t):
+    return "".join(c for c in t or "" if c not in " \t\n\x0b\f\r")
+
+
+def rows_id(runs, best):
+    return runs[best[3]][best[4]][0]
+
+
+@pytest.mark.parametrize("stored", [True, False])
+def test_later_runs_over_one_checkpoint(spark, tmp_path, stored):
+    """Two and three runs: each is told about its own rows, judged against all rows so far."""
+    checkpoint = f"file://{tmp_path}/check"
+    runs = [
+        [(1, "a b", 1), (2, "x", 1), (3, None, 1), (4, "long  text", 1), (5, "only once", 1)],
+        [(6, "ab", 1), (7, "x   ", 1), (8, "new", 1), (9, "new", 1), (10, "longtext", 1)],
+        [(11, "a b c", 1), (12, "ab", 1), (13, " x", 1), (14, "new ", 1), (None, "", 1), (0, "a b", 1)],
+    ]
+    for n, want in enumerate(runs_by_hand(runs)):
+        df = spark.createDataFrame(runs[n], SCHEMA).coalesce(1)
+        if stored:
+            df.write.parquet(f"file://{tmp_path}/in{n}")
+            df = spark.read.parquet(f"file://{tmp_path}/in{n}")
+        rows = dedup_exact.decide(df, checkpoint=checkpoint, run=f"r{n}").collect()
+        assert sorted((str(r["id"]), str(r["keep"]["id"]), r["copies"], r["kept"]) for r in rows) == want
+        again = dedup_exact.decide(df, checkpoint=checkpoint, run=f"r{n}").collect()  # as after an interruption
+        assert sorted(map(str, again)) == sorted(map(str, rows))
+
+
+def test_earlier_texts_are_compared_too(spark, tmp_path, monkeypatch):
+    """A hash that only sees the first letter: a later run's rows are told apart from the earlier best one by its text."""
+    monkeypatch.setattr(F, "sha2", lambda c, bits: F.substring(c, 1, 1))
+    checkpoint = f"file://{tmp_path}/check"
+    dedup_exact.decide(spark.createDataFrame([(1, "apple", 0), (2, "app le", 0), (3, "pear", 0)], SCHEMA), checkpoint=checkpoint).collect()
+    rows = dedup_exact.decide(spark.createDataFrame([(4, "avocado", 0), (5, "ap p le", 0), (6, "p e a r", 0)], SCHEMA), checkpoint=checkpoint).collect()
+    assert {r["id"]: (r["keep"]["id"], r["copies"], r["kept"]) for r in rows} == {4: (4, 1, True), 5: (5, 3, True), 6: (6, 2, True)}
+
+
+def test_only_texts_of_hits_are_moved(spark, tmp_path):
+    """Rows that reach the comparison of texts are those of hits, and of the few that share their places."""
+    rows = [(i, f"text number {i}", 0) for i in range(2000)] + [(5000 + i, "the same", 0) for i in range(50)]
+    spark.createDataFrame(rows, SCHEMA).write.parquet(f"file://{tmp_path}/t")
+    placed = dedup_exact.placed(spark.read.parquet(f"file://{tmp_path}/t"))
+    hits = placed.where("text = 'the same'").select("at_file", "at_row")
+    assert 50 <= dedup_exact.maybe_in(placed, ["at_file", "at_row"], hits).count() <= 52
+
+
+def test_a_very_long_text(spark):
+    long = "word " * 400_000
+    rows = [(1, long, 0), (2, long + " ", 0), (3, long + "x", 0)]
+    got = {r["id"]: (r["keep"]["id"], r["copies"]) for r in dedup_exact.decide(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {1: (2, 2), 2: (2, 2), 3: (3, 1)}
 
 
 def test_a_digest_of_two_texts_is_split(spark, monkeypatch):
