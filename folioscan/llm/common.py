@@ -71,12 +71,24 @@ def maybe_in(rows: DataFrame, keys: str | Sequence[str], wanted: DataFrame, plac
     that matters, but it moves far fewer rows while wanted is small against
     ``places``, and no more than before beyond that.
     """
+    return _placed(rows, keys, wanted, places).where("_taken").select(*rows.columns)
+
+
+def _placed(rows: DataFrame, keys: str | Sequence[str], wanted: DataFrame, places: int) -> DataFrame:
+    """``rows`` with ``_taken``: false if the row's keys are surely not in ``wanted``."""
     keys = [keys] if isinstance(keys, str) else list(keys)
     place = F.pmod(F.xxhash64(*keys), F.lit(places))
     word, bit = F.shiftright(place, 6), place.bitwiseAND(F.lit(63)).cast("int")
     taken = wanted.select(word.alias("_word"), F.call_function("shiftleft", F.lit(1).cast("long"), bit).alias("_bits")).groupBy("_word").agg(F.bit_or("_bits").alias("_bits"))
-    met = rows.withColumns({"_word": word, "_bit": bit}).join(F.broadcast(taken), "_word")
-    return met.where(F.call_function("shiftright", F.col("_bits"), F.col("_bit")).bitwiseAND(F.lit(1)) == 1).select(*rows.columns)
+    met = rows.withColumns({"_word": word, "_bit": bit}).join(F.broadcast(taken), "_word", "left")
+    return met.withColumn("_taken", F.coalesce(F.call_function("shiftright", F.col("_bits"), F.col("_bit")).bitwiseAND(F.lit(1)) == 1, F.lit(False)))
+
+
+def without(rows: DataFrame, gone: DataFrame, keys: Sequence[str], places: int = 1 << 26) -> DataFrame:
+    """``rows`` (read from files) less those whose keys, never null, are in ``gone``: only rows that may be in it are moved; the others are read in a scan of their own."""
+    placed = _placed(rows, keys, gone, places)
+    stay = placed.where("NOT _taken").select(*rows.columns)
+    return stay.unionByName(placed.where("_taken").select(*rows.columns).hint("merge").join(gone, list(keys), "left_anti").select(*rows.columns))
 
 
 def dealt_join(rows: DataFrame, table: DataFrame, keys: Sequence[str], spread: Sequence[str], how: str = "inner", parts: int = PARTS) -> DataFrame:

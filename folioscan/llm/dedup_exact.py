@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folioscan.llm.common import FILE, ROW, dealt_join, located, maybe_in, text_of, without_space
+from folioscan.llm.common import FILE, ROW, dealt_join, located, maybe_in, text_of, without, without_space
 from folioscan.workspace import persist_table, scratch, write_once
 
 STATE = {
@@ -172,4 +172,4 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     rows = located(docs)
     found = _decide(placed(rows, id_col, text_col), scratch(docs.sparkSession, "dedup"), "only", text_col)
     gone = found.where("NOT kept").select(F.col("at_file").alias(FILE), F.col("at_row").alias(ROW))
-    return rows.join(gone, [FILE, ROW], "left_anti").select(*docs.columns)
+    return without(rows, gone, [FILE, ROW]).select(*docs.columns)

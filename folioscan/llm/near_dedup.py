@@ -1,12 +1,14 @@
 """Near-duplicate classes: DartMinHash signatures, a banded join, and exact checks.
 
-Texts are sets of shingles of five words (a shorter text with words is one
-shingle). Texts with the same set are one node from the start, whatever their
-number. Nodes that share a band of their signatures are candidates:
+Texts are weighted sets of shingles of five words (a shorter text with words is
+one shingle); a shingle weighs as often as it occurs. Texts with the same set
+are one node from the start, whatever their number. Nodes that share a band of
+their signatures are candidates:
 
 1. In each bucket every node is paired with the least one, the hub; pairs are
-   checked by the exact Jaccard similarity of their shingles, and components are
-   found. Thousands of near copies cost one pair for each node and hub.
+   checked by the exact weighted Jaccard similarity of their shingles, and
+   components are found. Thousands of near copies cost one pair for each node and
+   hub; the nodes of a hub are dealt over tasks, each of which gets the hub's set once.
 2. Where the nodes of a hub still make up several components, those outside the
    largest are compared with all others, in blocks: a block of each side meets
    in one task, overlaps are counted through the shingles that both sides hold,
@@ -15,13 +17,15 @@ number. Nodes that share a band of their signatures are candidates:
    candidates is lost, and no pair of a large bucket becomes a row.
 
 With 25 bands of 5 a pair at the threshold of 0.8 is missed by all bands once
-in 20,000, at 0.85 once in 10 million.
+in 20,000, at 0.85 once in 10 million. Shingles are told apart by 64-bit hashes.
 
 Defined results: texts without words, null texts among them, are alone in their
 class; rows that repeat an id are one document, and the classes of their texts are
 one; rows with a null id get the class of the rows with the same shingles, or
-null if these have no id either; an empty table gives an empty result; other columns are not looked at.
-Identifiers are integers.
+null if these have no id either; ties go to the least id; very long texts are
+looked at as a whole, and a block of comparisons holds so many fewer of them; an
+empty table gives an empty result; other columns are not looked at. Identifiers
+are integers.
 """
 
 from __future__ import annotations
@@ -33,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscan.llm.common import maybe_in
+from folioscan.llm.common import FILE, ROW, dealt_join, located, maybe_in, without
 from folioscan.llm.components import components
 from folioscan.llm.dartminhash import band_keys, signatures
 from folioscan.llm.textscan import Texts, mix64, releasing, slices, texts_of, windows_of, words_of
@@ -42,8 +46,10 @@ from folioscan.workspace import persist_table
 SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 25, 5
-#: Nodes of a side that meet in one task.
-BLOCK = 256
+#: Nodes of a side that meet in one task, and the shingles that they hold together on average at most.
+BLOCK, BLOCK_SHINGLES = 256, 1 << 20
+#: Nodes of a hub that are checked against it one after the other, and the parts over which a hub's nodes are dealt at most.
+HUB_NODES, HUB_PARTS = 256, 4096
 #: Nodes of classes without any id are numbered from here up.
 NO_ID = (1 << 63) - 1 - (1 << 40)
 
@@ -70,11 +76,22 @@ def shingles_of(texts: Texts, a: int, b: int, n: int = SHINGLE) -> tuple[np.ndar
     return hashes[at], owner[at], np.diff(np.append(at, len(hashes)))
 
 
-def sketch(docs: DataFrame, weighted: bool = False) -> DataFrame:
-    """(id, text) to (id, size, d1, d2, bands): the number of distinct shingles, a digest of their set, and band keys.
+def spelled_out(hashes: np.ndarray, owner: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Weighted sets as plain ones: an element for each time that a shingle occurs, by owner and then element."""
+    if not len(times) or times.max() == 1:
+        return hashes, owner
+    which = np.repeat(np.arange(len(hashes)), times)
+    turn = (np.arange(len(which)) - np.repeat(np.cumsum(times) - times, times)).astype(np.uint64)
+    elements, owner = hashes[which], owner[which]
+    again = turn > 0
+    elements[again] = mix64(elements[again] + turn[again] * np.uint64(0xA24BAED4963EE407))
+    order = np.lexsort((elements, owner))
+    return elements[order], owner[order]
 
-    weighted: elements weigh as often as they occur, so bands follow the weighted similarity.
-    """
+
+def sketch(docs: DataFrame) -> DataFrame:
+    """(id, text, others) to (id, others, size, d1, d2, bands): the number of shingles, a digest of their weighted set, and band keys."""
+    names = [n for n in docs.columns if n != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -82,37 +99,36 @@ def sketch(docs: DataFrame, weighted: bool = False) -> DataFrame:
             for a, b in slices(texts):
                 hashes, owner, times = shingles_of(texts, a, b)
                 n = b - a
-                if weighted:
-                    hashes_in = mix64(hashes + times.astype(np.uint64))
-                else:
-                    hashes_in = hashes
+                hashes_in = mix64(hashes + times.astype(np.uint64))
                 edge = np.searchsorted(owner, np.arange(n + 1))
                 digests = []
                 for salt in (0x243F6A8885A308D3, 0x13198A2E03707344):
                     sums = np.zeros(len(hashes) + 1, np.uint64)
                     np.cumsum(mix64(hashes_in ^ np.uint64(salt)), out=sums[1:])
                     digests.append(pa.array((sums[edge[1:]] - sums[edge[:-1]]).view(np.int64)))
-                keys = band_keys(signatures(hashes, owner, n, BANDS * ROWS, times if weighted else None), ROWS)
+                weights = np.zeros(len(hashes) + 1, np.int64)
+                np.cumsum(times, out=weights[1:])
+                keys = band_keys(signatures(hashes, owner, n, BANDS * ROWS, times), ROWS)
                 bands = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * BANDS), pa.array(keys.ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column("id").slice(a, n), pa.array(np.diff(edge)), *digests, bands], ["id", "size", "d1", "d2", "bands"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(a, n) for c in names), pa.array(weights[edge[1:]] - weights[edge[:-1]]), *digests, bands], [*names, "size", "d1", "d2", "bands"])
 
-    return docs.mapInArrow(releasing(run), "id long, size long, d1 long, d2 long, bands array<long>")
+    schema = ", ".join(f"{n} {docs.schema[n].dataType.simpleString()}" for n in names)
+    return docs.mapInArrow(releasing(run), f"{schema}, size long, d1 long, d2 long, bands array<long>")
 
 
 def _sets(docs: DataFrame) -> DataFrame:
-    """(id, text) to (node, shingles): the distinct shingles in order, cut to 32 bits."""
+    """(node, text) to (node, shingles): the weighted set spelled out, in order; 64-bit hashes as signed numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = texts_of(batch.column("text"))
             for a, b in slices(texts):
-                hashes, owner, _ = shingles_of(texts, a, b)
+                elements, owner = spelled_out(*shingles_of(texts, a, b))
                 edge = np.searchsorted(owner, np.arange(b - a + 1)).astype(np.int32)
-                # By the upper half: that keeps the order.
-                sets = pa.ListArray.from_arrays(pa.array(edge), pa.array((hashes >> np.uint64(32)).astype(np.uint32).view(np.int32)))
-                yield pa.RecordBatch.from_arrays([batch.column("id").slice(a, b - a), sets], ["node", "shingles"])
+                sets = pa.ListArray.from_arrays(pa.array(edge), pa.array(elements.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([batch.column("node").slice(a, b - a), sets], ["node", "shingles"])
 
-    return docs.mapInArrow(releasing(run), "node long, shingles array<int>")
+    return docs.mapInArrow(releasing(run), "node long, shingles array<long>")
 
 
 def _common(x: np.ndarray, y: np.ndarray) -> int:
@@ -122,26 +138,35 @@ def _common(x: np.ndarray, y: np.ndarray) -> int:
 
 
 def _check(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) whose sets are at least so similar."""
-    # The narrow rows meet the sets of hot hubs; what is moved after that is dealt by the other side.
-    left = pairs.hint("merge").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
-    both = left.hint("merge").join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").select("a", "b", "x", "y")
+    """The pairs (a, b) of nodes and their hubs whose sets are at least so similar."""
+    parts = pairs.groupBy("b").agg(F.least(F.ceil(F.count(F.lit(1)) / HUB_NODES), F.lit(HUB_PARTS)).alias("parts")).where("parts > 1")
+    dealt = dealt_join(pairs, parts, ["b"], ["a"], "left").select("a", "b", F.pmod(F.xxhash64("a"), F.coalesce("parts", F.lit(1))).alias("part"))
+    dealt = persist_table(dealt, "pairs")
+    nodes = dealt.hint("merge").join(sets.withColumnRenamed("node", "a"), "a").select("b", "part", F.lit(True).alias("member"), F.col("a").alias("node"), "shingles")
+    hubs = dealt.select("b", "part").distinct().hint("merge").join(sets.withColumnRenamed("node", "b"), "b").select("b", "part", F.lit(False).alias("member"), F.col("b").alias("node"), "shingles")
+    rows = nodes.unionByName(hubs).repartition("b", "part").sortWithinPartitions("b", "part", "member")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        at, hub = None, []
+        for batch in batches:  # a hub's own row comes before those of its nodes; an id with several texts has a row for each
+            offsets, values = _lists(batch.column("shingles"))
+            member = batch.column("member").to_numpy(zero_copy_only=False)
+            where = list(zip(batch.column("b").to_pylist(), batch.column("part").to_pylist(), strict=True))
             keep = np.zeros(batch.num_rows, bool)
-            (xo, xv), (yo, yv) = _lists(batch.column("x")), _lists(batch.column("y"))
             for i in range(batch.num_rows):
-                x, y = xv[xo[i] : xo[i + 1]], yv[yo[i] : yo[i + 1]]
-                common = _common(x, y)
-                keep[i] = common >= threshold * (len(x) + len(y) - common) - 1e-9
-            yield pa.RecordBatch.from_arrays([batch.column(n).filter(pa.array(keep)) for n in ("a", "b")], ["a", "b"])
+                x = values[offsets[i] : offsets[i + 1]]
+                if not member[i]:
+                    at, hub = where[i], [*(hub if at == where[i] else []), x.copy()]
+                    continue
+                keep[i] = any((common := _common(x, y)) >= threshold * (len(x) + len(y) - common) - 1e-9 for y in hub)
+            keep = pa.array(keep)
+            yield pa.RecordBatch.from_arrays([batch.column("node").filter(keep), batch.column("b").filter(keep)], ["a", "b"])
 
-    return both.mapInArrow(releasing(run), "a long, b long")
+    return rows.mapInArrow(releasing(run), "a long, b long")
 
 
 def _lists(column) -> tuple[np.ndarray, np.ndarray]:
-    return column.offsets.to_numpy(), column.values.to_numpy().view(np.uint32)
+    return column.offsets.to_numpy(), column.values.to_numpy().view(np.uint64)
 
 
 def _similar(x: list[np.ndarray], y: list[np.ndarray], threshold: float) -> np.ndarray:
@@ -195,12 +220,15 @@ def _link_block(table: pa.Table, threshold: float) -> pa.Table:
 
 def _check_rest(stars: DataFrame, roots: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """Links (a, b) among nodes of the same hub that are in different components; the hub itself has been compared with all."""
-    member = stars.select(F.col("b").alias("hub"), F.col("a").alias("node")).join(roots, "node", "left").select("hub", "node", F.coalesce("root", "node").alias("root"))
+    member = stars.select(F.col("b").alias("hub"), F.col("a").alias("node"), "size").join(roots, "node", "left").select("hub", "node", "size", F.coalesce("root", "node").alias("root"))
     member = persist_table(member, "hub-members")
-    parts = member.groupBy("hub", "root").agg(F.count(F.lit(1)).alias("n"))
-    groups = parts.groupBy("hub").agg(F.max(F.struct("n", "root"))["root"].alias("main"), F.max("n").alias("most"), F.sum("n").alias("all"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-    groups = persist_table(groups.select("hub", "main", F.ceil((F.col("all") - F.col("most")) / BLOCK).alias("lefts"), F.ceil(F.col("all") / BLOCK).alias("rights")), "mixed-hubs")
-    mixed = member.join(groups, "hub")
+    parts = member.groupBy("hub", "root").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("w"))
+    main = F.max(F.struct("n", "root", "w"))
+    groups = parts.groupBy("hub").agg(main.alias("main"), F.sum("n").alias("n"), F.sum("w").alias("w"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    blocks = lambda n, w: F.ceil(F.greatest(n / BLOCK, w / BLOCK_SHINGLES))
+    lefts, rights = blocks(F.col("n") - F.col("main.n"), F.col("w") - F.col("main.w")), blocks(F.col("n"), F.col("w"))
+    groups = persist_table(groups.select("hub", F.col("main.root").alias("main"), lefts.alias("lefts"), rights.alias("rights")), "mixed-hubs")
+    mixed = dealt_join(member, groups, ["hub"], ["node"])
     deal = lambda n, seed: F.pmod(F.xxhash64("node", F.lit(seed)), F.col(n))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     one = mixed.where("root <> main").select("hub", "node", "root", F.lit(True).alias("left"), deal("lefts", 1).alias("i"), every("rights").alias("j"))
@@ -209,32 +237,55 @@ def _check_rest(stars: DataFrame, roots: DataFrame, sets: DataFrame, threshold:
     return met.groupBy("hub", "i", "j").applyInArrow(lambda t: _link_block(t, threshold), "a long, b long")
 
 
-def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, weighted: bool = False) -> DataFrame:
-    """A row for each document: id, class_id (the least id of its class)."""
-    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    rows = persist_table(sketch(docs, weighted), "sketches")
-    nameless = F.lit(NO_ID) + F.pmod(F.col("d1"), F.lit(1 << 40))
-    nodes = rows.where("size > 0").groupBy("d1", "d2", "size").agg(F.min("id").alias("least"), F.min("bands").alias("bands"))
-    nodes = persist_table(nodes.withColumn("node", F.coalesce("least", nameless)).drop("least"), "nodes")
+def membership(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """A row for each document: id, its place (at_file, at_row), class: the least node of its class, null for texts without words.
+
+    Nodes are the least ids of equal sets, and numbers from NO_ID up where there is no id.
+    """
+    docs = located(docs)
+    place = ["at_file", "at_row"]
+    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.col(FILE).alias("at_file"), F.col(ROW).alias("at_row"))
+    rows = persist_table(sketch(docs), "sketches")
+    own = F.coalesce("id", F.lit(NO_ID) + F.pmod(F.col("d1"), F.lit(1 << 40)))
+    nodes = rows.where("size > 0").groupBy("d1", "d2", "size").agg(F.min("id").alias("id"), F.min(F.struct(*place)).alias("at"), F.min("bands").alias("bands"), F.count(F.lit(1)).alias("copies"))
+    nodes = persist_table(nodes.withColumn("node", own).drop("id"), "nodes")
 
     spread = nodes.select(F.explode("bands").alias("band"), "node", "size")
     hubs = spread.groupBy("band").agg(F.min(F.struct("node", "size")).alias("hub"), F.count(F.lit(1)).alias("members")).where("members > 1").select("band", "hub")
-    stars = spread.join(hubs, "band").where(F.col("node") != F.col("hub.node")).select(F.col("node").alias("a"), "size", F.col("hub.node").alias("b"), F.col("hub.size").alias("hub_size")).distinct()
+    stars = dealt_join(spread, hubs, ["band"], ["node"]).where(F.col("node") != F.col("hub.node"))
+    stars = stars.select(F.col("node").alias("a"), "size", F.col("hub.node").alias("b"), F.col("hub.size").alias("hub_size")).distinct()
     stars = persist_table(stars, "stars")
-    candidates = persist_table(stars.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "candidates")
-    texts = maybe_in(docs, "id", candidates).hint("merge").join(candidates, "id", "left_semi")
+    candidates = stars.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    # A node's text is that of one of its rows; an id that has several texts has a node for each.
+    candidates = persist_table(nodes.join(candidates, "node", "left_semi").select("node", "size", "at.*"), "candidates")
+    texts = maybe_in(docs, place, candidates).hint("merge").join(candidates.select("node", *place), place).select("node", "text")
     sets = persist_table(_sets(texts), "shingle-sets")
 
     near = F.least("size", "hub_size") >= F.lit(threshold) * F.greatest("size", "hub_size") - 1e-9
     links = persist_table(_check(stars.where(near).select("a", "b"), sets, threshold), "links")
     roots = persist_table(components(links), "star-roots")
     more = _check_rest(stars, roots, sets, threshold)
-    member = persist_table(rows.join(nodes.select("d1", "d2", "size", "node"), ["d1", "d2", "size"], "left").select("id", "node"), "members")
+    shared = nodes.where("copies > 1").select("d1", "d2", "size", "node")
+    member = dealt_join(rows.drop("bands"), shared, ["d1", "d2", "size"], place, "left")
+    member = persist_table(member.select("id", *place, F.when(F.col("size") > 0, F.coalesce("node", own)).alias("node")), "members")
     several = member.where("id IS NOT NULL AND node IS NOT NULL").groupBy("id").agg(F.min("node").alias("b"), F.max("node").alias("last")).where("b <> last").select("id", "b")
-    same_id = member.join(several, "id").select(F.col("node").alias("a"), "b").where("a <> b")
+    same_id = dealt_join(member, several, ["id"], place).select(F.col("node").alias("a"), "b").where("a <> b")
     links = persist_table(links.unionByName(more).unionByName(same_id), "links")
-    roots = components(links)
+    found = dealt_join(member, components(links), ["node"], place, "left")
+    return found.select("id", *place, F.coalesce("root", "node").alias("class"))
 
-    member = member.join(roots, "node", "left")
-    found = F.coalesce("root", "node", "id")
-    return member.select("id", F.when(found < NO_ID, found).alias("class_id"))
+
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """A row for each document: id, class_id (the least id of its class)."""
+    key = F.coalesce("class", "id")
+    return membership(docs, id_col, text_col, threshold).select("id", F.when(key < NO_ID, key).alias("class_id"))
+
+
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """One document of each class, with all its columns: the least id (null ids last), then the first by file and row. Texts without words all stay."""
+    rows, place = located(docs), ["at_file", "at_row"]
+    found = persist_table(membership(rows, id_col, text_col, threshold).where("class IS NOT NULL"), "near-classes")
+    best = found.groupBy("class").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", *place)).alias("best"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    met = dealt_join(found, best.select("class", "best"), ["class"], place)
+    gone = met.where((F.col("best.at_file") != F.col("at_file")) | (F.col("best.at_row") != F.col("at_row"))).select(F.col("at_file").alias(FILE), F.col("at_row").alias(ROW))
+    return without(rows, gone, [FILE, ROW]).select(*docs.columns)
