@@ -19,6 +19,8 @@ import numpy as np
 
 from folioscan.llm.textscan import mix64
 
+#: Throws that are looked at together.
+AT_ONCE = 1 << 15
 _STRIP, _TURN, _PLACE = 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3
 
 
@@ -33,7 +35,7 @@ def _uniform(h: np.ndarray) -> np.ndarray:
 
 def _throw(best: np.ndarray, k: int, elements: np.ndarray, owner: np.ndarray, weight: np.ndarray, bound: np.ndarray) -> None:
     """Darts of all elements up to their rank bounds; best, owner * k + coordinate -> (rank bits, dart), gets the least."""
-    strip, low = 0, 0.0
+    strip, low, light = 0, 0.0, bool((weight < 1).any())
     while len(elements):
         high = 1.0 if strip == 0 else low * 2
         seed = mix64(elements ^ _times(strip + 1, _STRIP))
@@ -41,23 +43,23 @@ def _throw(best: np.ndarray, k: int, elements: np.ndarray, owner: np.ndarray, we
         which = np.arange(len(elements))
         turn = 0
         while len(which):
-            turn += 1
-            h = mix64(seed[which] + _times(turn, _TURN))
-            rank[which] -= np.log(_uniform(h)) / (high - low)
-            which = which[rank[which] < bound[which]]
-            if not len(which):
-                break
-            dart = mix64(seed[which] ^ _times(turn, _PLACE))
-            seen = which
-            if high > 1:
-                under = low + _uniform(mix64(dart + np.uint64(_STRIP))) * (high - low) <= weight[which]
-                seen, dart = which[under], dart[under]
-            elif (weight[which] < 1).any():
-                under = _uniform(mix64(dart + np.uint64(_STRIP))) <= weight[which]
-                seen, dart = which[under], dart[under]
+            # Several throws of each element at once where few elements are left, as when one of them holds most of the weight.
+            some = max(1, min(64, AT_ONCE // len(which)))
+            turns = np.arange(turn + 1, turn + some + 1, dtype=np.uint64)
+            turn += some
+            h = mix64(seed[which][:, None] + (turns * np.uint64(_TURN))[None, :])
+            ranks = np.concatenate([rank[which][:, None], -np.log(_uniform(h)) / (high - low)], 1).cumsum(1)[:, 1:]
+            inside = ranks < bound[which][:, None]
+            rank[which] = ranks[:, -1]
+            row, column = np.nonzero(inside)
+            seen, value = which[row], ranks[row, column]
+            dart = mix64(seed[seen] ^ (turns * np.uint64(_PLACE))[column])
+            which = which[inside[:, -1]]
+            if high > 1 or light:
+                under = low + _uniform(mix64(dart + np.uint64(_STRIP))) * (high - low) <= weight[seen]
+                seen, dart, value = seen[under], dart[under], value[under]
             place = owner[seen] * k + ((dart >> np.uint64(32)) * np.uint64(k) >> np.uint64(32)).astype(np.int64)
-            value = (rank[seen].astype(np.float32).view(np.uint32).astype(np.uint64) << np.uint64(32)) | (dart & np.uint64(0xFFFFFFFF))
-            np.minimum.at(best, place, value)
+            np.minimum.at(best, place, (value.astype(np.float32).view(np.uint32).astype(np.uint64) << np.uint64(32)) | (dart & np.uint64(0xFFFFFFFF)))
         more = weight > high
         elements, owner, weight, bound = elements[more], owner[more], weight[more], bound[more]
         strip, low = strip + 1, high

@@ -54,6 +54,17 @@ HUB_NODES, HUB_PARTS = 256, 4096
 NO_ID = (1 << 63) - 1 - (1 << 40)
 
 
+def by_owner(hashes: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+    """The order by owner, one of ``n``, and then hash: one number holds the owner and the upper bits of the hash; where these don't tell hashes apart, both are sorted by."""
+    bits = np.uint64(max(1, n.bit_length()))
+    key = (owner.astype(np.uint64) << (np.uint64(64) - bits)) | (hashes >> bits)
+    order = np.argsort(key)
+    key, ranked = key[order], hashes[order]
+    if ((key[1:] == key[:-1]) & (ranked[1:] != ranked[:-1])).any():
+        return np.lexsort((hashes, owner))
+    return order
+
+
 def shingles_of(texts: Texts, a: int, b: int, n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hash, owner, times) of the distinct shingles of the texts a to b, by owner and then hash."""
     words = words_of(texts, a, b)
@@ -68,7 +79,7 @@ def shingles_of(texts: Texts, a: int, b: int, n: int = SHINGLE) -> tuple[np.ndar
             more = count[short] > k
             h[more] = mix64(h[more] * np.uint64(0xD6E8FEB86659FD93) + words.hash[starts[short[more]] + k])
         hashes, owner = np.concatenate([hashes, h]), np.concatenate([owner, short])
-    order = np.lexsort((hashes, owner))
+    order = by_owner(hashes, owner, b - a)
     hashes, owner = hashes[order], owner[order]
     new = np.ones(len(hashes), bool)
     new[1:] = (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])
@@ -85,7 +96,7 @@ def spelled_out(hashes: np.ndarray, owner: np.ndarray, times: np.ndarray) -> tup
     elements, owner = hashes[which], owner[which]
     again = turn > 0
     elements[again] = mix64(elements[again] + turn[again] * np.uint64(0xA24BAED4963EE407))
-    order = np.lexsort((elements, owner))
+    order = by_owner(elements, owner, int(owner[-1]) + 1)
     return elements[order], owner[order]
 
 

@@ -109,6 +109,15 @@ def test_a_hub_with_many_nodes_is_dealt_over_parts(spark, monkeypatch):
     assert [got[i] for i in range(len(texts))] == brute(texts)
 
 
+def test_order_by_owner_and_hash():
+    rng = np.random.default_rng(5)
+    hashes = rng.integers(0, 1 << 63, 900, dtype=np.uint64)
+    hashes[::3] = hashes[0] ^ rng.integers(0, 8, 300, dtype=np.uint64)  # told apart by their last bits alone
+    owner = np.sort(rng.integers(0, 40, 900))
+    order, want = near_dedup.by_owner(hashes, owner, 40), np.lexsort((hashes, owner))
+    assert (hashes[order] == hashes[want]).all() and (owner[order] == owner[want]).all()
+
+
 def test_spelled_out_sets_have_the_weighted_similarity():
     hashes, owner, times = np.array([5, 9, 5, 9, 11], np.uint64), np.array([0, 0, 1, 1, 1]), np.array([3, 1, 2, 4, 1])
     elements, who = near_dedup.spelled_out(hashes, owner, times)
