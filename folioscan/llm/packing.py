@@ -1,27 +1,32 @@
-"""Hierarchical packing of documents into training sequences of several lengths.
+"""Hierarchical multi-length packing of documents into training sequences.
 
 A document's token ids, closed by an end id, are routed to the shortest context
-tier that holds them; the longest tier takes the rest. Each tier lays its
-documents one after the other and cuts where a window is full, so every window
-but the last open one of each tier is exactly full. At the end of a partition
-the gap of the open long window is filled from the open windows of the shorter
-tiers, the longest first; what then remains below one long window goes to full
-windows of the shorter lengths, and only the last few tokens to a padded one.
+tier that holds them. A document beyond the longest tier fills windows of that
+tier, and only its remainder is routed. Documents wait in a pool of bounded size,
+whole. The longest is taken first and a window of its tier is filled exactly with
+other whole documents of that tier and shorter ones, found by sums of lengths.
+Where no such set is there, the document opens a long window, whose gap is
+filled from all tiers, exactly if possible. A long window that stays open by
+more than ``SLACK`` tokens is closed with the beginning of another document: only
+then, and where a partition ends, is a document that fits into a window cut.
+What remains below one long window at the end of a partition goes to full windows
+of lesser powers of two. So windows other than the longest are always full.
 
 Full windows of a tier are dealt into step groups of ``step_tokens`` tokens so
 that the sum of squared document lengths, which attention pays for, is about
 the same in each group: a pool of windows is ranked by it and dealt back and
 forth.
 
-Partitions are packed on their own: no shuffle, and at most one padded window
-each. Window numbers hold the partition's number, so a task that runs again
-gives the same rows if its input does; read the documents from stored files.
+Partitions are packed on their own: no shuffle. Window numbers hold the
+partition's number, so a task that runs again gives the same rows if its input
+does; read the documents from stored files.
 
 Words are tokenised once for each worker and looked up after that.
 
 Defined results: null and empty texts are documents of just the end id;
-repeated rows and equal ids are packed each for itself; an empty table gives an
-empty result; other columns are not looked at.
+repeated rows and equal ids are packed each for itself; documents of equal length
+are taken the last come first; very long texts are coded in blocks and packed
+whole; an empty table gives an empty result; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -30,6 +35,7 @@ import json
 import os
 import re
 import zlib
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -41,7 +47,12 @@ from pyspark.sql import functions as F
 from folioscan.llm.textscan import IS_SPACE, hash_spans, mix64, releasing, slices, texts_of
 
 TIERS = (512, 1024, 2048, 4096)
-SMALLEST = 64
+#: Tokens of documents that wait for a window, at most, and so many are left when windows have been made.
+POOL_TOKENS = 256 * 4096
+#: Tokens by which a long window may stay open.
+SLACK = 16
+#: First documents that are tried for sums of three.
+TRIES = 12
 END_ID = 2
 STEP_WINDOWS = 16
 POOL_GROUPS = 8
@@ -189,6 +200,68 @@ def _blocks(text: bytes) -> Iterator[bytes]:
         at = end
 
 
+class Pool:
+    """Pieces of documents by length."""
+
+    def __init__(self):
+        self.by_length: dict[int, list] = {}
+        self.lengths: list[int] = []  # in order
+        self.tokens = 0
+
+    def put(self, piece: tuple) -> None:
+        n = len(piece[2])
+        if n not in self.by_length:
+            self.by_length[n] = []
+            insort(self.lengths, n)
+        self.by_length[n].append(piece)
+        self.tokens += n
+
+    def take(self, n: int) -> tuple:
+        pieces = self.by_length[n]
+        piece = pieces.pop()
+        if not pieces:
+            del self.by_length[n]
+            del self.lengths[bisect_left(self.lengths, n)]
+        self.tokens -= n
+        return piece
+
+    def _pair(self, total: int) -> list[int] | None:
+        """One or two lengths of that sum."""
+        if total in self.by_length:
+            return [total]
+        for a in self.lengths[: bisect_right(self.lengths, total // 2)]:
+            other = self.by_length.get(total - a)
+            if other and (2 * a < total or len(other) > 1):
+                return [total - a, a]
+        return None
+
+    def sum_of(self, total: int) -> list[int] | None:
+        """Up to three lengths that are there and make up ``total``; None if none are found."""
+        if not total:
+            return []
+        found = self._pair(total)
+        below = self.lengths[: bisect_left(self.lengths, total)]
+        for a in below[-TRIES:][::-1] if found is None else []:
+            piece = self.take(a)
+            rest = self._pair(total - a)
+            self.put(piece)
+            if rest:
+                return [a, *rest]
+        return found
+
+    def filling(self, gap: int) -> list[int]:
+        """Lengths that are there and fill the gap, exactly if such are found, the longest first."""
+        taken, out = [], []
+        while (exact := self.sum_of(gap)) is None and self.lengths and self.lengths[0] <= gap:
+            n = self.lengths[bisect_right(self.lengths, gap) - 1]
+            taken.append(self.take(n))
+            out.append(n)
+            gap -= n
+        for piece in taken:
+            self.put(piece)
+        return [*out, *(exact or [])]
+
+
 class Packer:
     """Packs the documents of one partition; ``rows`` fills with finished pieces."""
 
@@ -197,28 +270,47 @@ class Packer:
             raise ValueError("tiers must be powers of two in ascending order")
         self.tiers = tuple(tiers)
         self.base = partition << 32
-        self.open: dict[int, list] = {t: [] for t in tiers}
-        self.fill = dict.fromkeys(tiers, 0)
+        self.pool = Pool()
         self.pools: dict[int, list] = {}
         self.sequences = self.groups = 0
         self.rows: list[tuple] = []
 
     def add(self, doc, ids: np.ndarray) -> None:
-        n = len(ids)
-        tier = next((t for t in self.tiers if n <= t), self.tiers[-1])
-        self._lay(tier, doc, 0, ids, n)
-
-    def _lay(self, tier: int, doc, start: int, ids: np.ndarray, doc_tokens: int) -> None:
-        while len(ids):
-            room = tier - self.fill[tier]
-            now, ids = ids[:room], ids[room:]
-            # An open window is small; its ids are kept until it closes, for it may be cut once more.
-            self.open[tier].append((doc, start, now, doc_tokens))
-            self.fill[tier] += len(now)
-            start += len(now)
-            if self.fill[tier] == tier:
-                self._close(tier, self.open[tier])
-                self.open[tier], self.fill[tier] = [], 0
+        n, top = len(ids), self.tiers[-1]
+        whole = n // top * top if n > top else 0
+        for start in range(0, whole, top):
+            self._close(top, [(doc, start, ids[start : start + top], n)])
+        if whole < n:
+            self.pool.put((doc, whole, ids[whole:].copy(), n))
+        if self.pool.tokens >= POOL_TOKENS:
+            while self.pool.tokens > POOL_TOKENS // 2:
+                self._window()
+
+    def _window(self) -> None:
+        """Make a window around the longest piece that waits."""
+        pool, top = self.pool, self.tiers[-1]
+        first = pool.take(pool.lengths[-1])
+        n = len(first[2])
+        tier = next(t for t in self.tiers if n <= t)
+        exact = pool.sum_of(tier - n)
+        if exact is None:
+            tier, exact = top, pool.filling(top - n)
+        pieces = [first, *(pool.take(k) for k in exact)]
+        gap = tier - n - sum(exact)
+        if gap > SLACK and pool.tokens >= gap:
+            pieces += self._cut(gap)
+        self._close(tier, pieces)
+
+    def _cut(self, gap: int) -> list[tuple]:
+        """Pieces of ``gap`` tokens, all but the last of them whole, the rest of that one going back."""
+        out = []
+        while gap:
+            doc, start, ids, n = self.pool.take(self.pool.lengths[-1])
+            if len(ids) > gap:
+                self.pool.put((doc, start + gap, ids[gap:], n))
+            out.append((doc, start, ids[:gap], n))
+            gap -= len(out[-1][2])
+        return out
 
     def _close(self, tier: int, pieces: list) -> None:
         closed, offset = [], 0
@@ -244,37 +336,17 @@ class Packer:
         self.groups += groups
 
     def finish(self) -> None:
-        """Fill the long gap from shorter tiers, close what is left, and deal the last groups."""
-        top = self.tiers[-1]
-        for tier in reversed(self.tiers[:-1]):
-            pieces, self.open[tier], self.fill[tier] = self.open[tier], [], 0
-            for doc, start, ids, n in pieces:
-                self._lay(top, doc, start, ids, n)
-        left, self.open[top], self.fill[top] = self.open[top], [], 0
-        size = top // 2
-        while size >= SMALLEST:
-            if sum(len(p[2]) for p in left) >= size:
-                window, left = _split(left, size)
-                self._close(size, window)
-            size //= 2
-        if left:
-            self._close(top, left)
+        """Make windows of what waits, the last of them of lesser powers of two, and deal the last groups."""
+        while self.pool.tokens >= self.tiers[-1]:
+            self._window()
+        while self.pool.tokens:
+            size = 1 << (self.pool.tokens.bit_length() - 1)
+            exact = self.pool.sum_of(size)
+            self._close(size, self._cut(size) if exact is None else [self.pool.take(k) for k in exact])
         for tier in sorted(self.pools):
             self._deal(tier)
 
 
-def _split(pieces: list, size: int) -> tuple[list, list]:
-    first, rest, room = [], [], size
-    for doc, start, ids, n in pieces:
-        take = min(room, len(ids))
-        if take:
-            first.append((doc, start, ids[:take], n))
-        if take < len(ids):
-            rest.append((doc, start + take, ids[take:], n))
-        room -= take
-    return first, rest
-
-
 NAMES = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "tier", "step_group"]
 
 
