@@ -11,13 +11,18 @@ to answers, so a filter bank costs ``WIDTH / 2`` lookups a byte. Bytes beyond th
 ``CLASSES - 1`` most common of the training sample share one class.
 
 The network is trained on the driver from a bounded sample of labelled texts:
-the ``TRAIN_ROWS`` with the least hash of their id. Only texts and labels are
-looked at. The seed is fixed, so reruns agree.
+the ``TRAIN_ROWS`` with the least hash of their id, whole, as long as they hold
+``TRAIN_BYTES`` together; a text that would go beyond that is left to others. It
+learns from all chunks of a text at once, as it scores, and beside that from
+short runs of each text, so that short texts are scored well. Only texts and
+labels are looked at. The seed is fixed, so reruns agree.
 
 Defined results: null text is empty; an empty text is scored as one blank
-chunk; repeated rows score alike; an empty table gives an empty result. Labels
-that are null or contradict each other are left out; without both labels in the
-sample the score is the share of label 1, or 0.5 if there are none.
+chunk; repeated rows score alike, and so do ties; a very long text is scored by
+all its chunks, one at a time; an empty table gives an empty result; other
+columns are not looked at. Labels that are null or contradict each other are left
+out; without both labels in the sample the score is the share of label 1, or 0.5
+if there are none.
 """
 
 from __future__ import annotations
@@ -31,18 +36,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioscan.llm.textscan import releasing, slices, texts_of
+from folioscan.workspace import persist_table
 
-TRAIN_ROWS = 3000
-TRAIN_BYTES = 4096
-SHORT_BYTES = (12, 400)
-LONG_SHARE = 0.6
+#: The sample to learn from: so many texts at most, of so many bytes together.
+TRAIN_ROWS, TRAIN_BYTES = 3000, 16 << 20
+#: Bytes of the short runs that are learned beside whole texts, and what such a run weighs against a text.
+SHORT_BYTES, SHORT_WEIGHT = (12, 400), 0.4
 FILTERS = 16
 WIDTH = 8
 VECTOR = 8
 CLASSES = 128
 CHUNK = 2048
 OVERLAP = 64
-EPOCHS = 14
+EPOCHS = 10
 BATCH = 24
 RATE = 0.004
 SEED = 7
@@ -78,13 +84,18 @@ def _sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def _crop(text: bytes, rng: np.random.Generator) -> bytes:
-    """A random run of a training text, often a short one, so that short texts are learned; scoring always reads all of a text."""
-    size = TRAIN_BYTES if rng.random() < LONG_SHARE else int(rng.integers(*SHORT_BYTES))
+def _short(text: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    size = int(rng.integers(*SHORT_BYTES))
     at = int(rng.integers(0, max(1, len(text) - size + 1)))
     return text[at : at + size]
 
 
+def _chunks(byte: np.ndarray) -> list[np.ndarray]:
+    """Overlapping chunks that cover a run of byte classes."""
+    byte = np.pad(byte, (0, max(0, WIDTH - len(byte))))
+    return [byte[a : a + CHUNK] for a in range(0, max(1, len(byte) - OVERLAP), CHUNK - OVERLAP)]
+
+
 def train(texts: list[bytes], labels: np.ndarray) -> Network:
     rng = np.random.default_rng(SEED)
     seen = np.bincount(np.frombuffer(b"".join(texts), np.uint8), minlength=256)
@@ -100,38 +111,38 @@ def train(texts: list[bytes], labels: np.ndarray) -> Network:
     share = np.array([(labels == 0).mean(), (labels == 1).mean()])
     weight = 0.5 / share[labels]
     step = 0
+    blank = class_of[np.full(1, 0x20)]
+    coded = [class_of[np.frombuffer(t, np.uint8)] if t else blank for t in texts]
     for epoch in range(EPOCHS):
         order = rng.permutation(len(texts))
         rate = RATE * (1 - epoch / EPOCHS) + 1e-4
         for at in range(0, len(order), BATCH):
             g = {k: np.zeros_like(x) for k, x in p.items()}
             tables = pair_tables(p["v"], p["w"].reshape(WIDTH, VECTOR, FILTERS))
-            for i in order[at : at + BATCH]:
-                byte = class_of[np.frombuffer(_crop(texts[i], rng) or b" ", np.uint8)]
-                byte = np.pad(byte, (0, max(0, WIDTH - len(byte))))
-                cuts = [byte[a : a + CHUNK] for a in range(0, max(1, len(byte) - OVERLAP), CHUNK - OVERLAP)]
-                tops, where = [], []
-                for c in cuts:
+            batch = [(i, run, w) for i in order[at : at + BATCH] for run, w in ((coded[i], 1.0), (_short(coded[i], rng), SHORT_WEIGHT))]
+            for i, run, w in batch:
+                cuts = _chunks(run)
+                tops, where = np.empty((len(cuts), FILTERS), np.float32), np.empty((len(cuts), FILTERS), np.int64)
+                for n, c in enumerate(cuts):
                     z = answers(tables, c)
-                    m = z.argmax(0)
-                    tops.append(z[m, np.arange(FILTERS)] + p["b"])
-                    where.append((c, m))
-                h = np.maximum(np.stack(tops), 0)
-                best = h.argmax(0)
+                    where[n] = z.argmax(0)
+                    tops[n] = z[where[n], np.arange(FILTERS)]
+                h = np.maximum(tops + p["b"], 0)
                 feats = np.concatenate([h.max(0), h.mean(0)])
-                err = (_sigmoid(feats @ p["o"] + p["c"][0]) - labels[i]) * weight[i] / BATCH
+                err = (_sigmoid(feats @ p["o"] + p["c"][0]) - labels[i]) * weight[i] * w / BATCH
                 g["o"] += err * feats
                 g["c"] += err
                 dh = np.tile(err * p["o"][FILTERS:] / len(cuts), (len(cuts), 1))
-                dh[best, np.arange(FILTERS)] += err * p["o"][:FILTERS]
+                dh[h.argmax(0), np.arange(FILTERS)] += err * p["o"][:FILTERS]
                 dh *= h > 0
                 g["b"] += dh.sum(0)
-                for (c, m), d in zip(where, dh, strict=True):
-                    at_bytes = c[m[None, :] + np.arange(WIDTH)[:, None]]  # WIDTH x FILTERS
-                    x = p["v"][at_bytes]  # WIDTH x FILTERS x VECTOR
-                    g["w"] += (x.transpose(0, 2, 1) * d).reshape(WIDTH * VECTOR, FILTERS)
-                    back = p["w"].reshape(WIDTH, VECTOR, FILTERS).transpose(0, 2, 1) * d[None, :, None]
-                    np.add.at(g["v"], at_bytes.ravel(), back.reshape(-1, VECTOR))
+                # The bytes under each filter where it answered most, chunk after chunk in one run.
+                flat = np.concatenate(cuts)
+                begins = np.cumsum([0, *map(len, cuts[:-1])])
+                under = flat[(begins[:, None] + where)[:, None, :] + np.arange(WIDTH)[None, :, None]]  # chunks x WIDTH x FILTERS
+                g["w"] += np.einsum("cwfv,cf->wvf", p["v"][under], dh).reshape(WIDTH * VECTOR, FILTERS)
+                back = p["w"].reshape(WIDTH, VECTOR, FILTERS).transpose(0, 2, 1)[None] * dh[:, None, :, None]
+                np.add.at(g["v"], under.ravel(), back.reshape(-1, VECTOR).astype(np.float32))
             step += 1
             for k in p:
                 first[k] = 0.9 * first[k] + 0.1 * g[k]
@@ -162,18 +173,24 @@ def held_out(id_col: str = "doc_id"):
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 3 == 1
 
 
-def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, rows: int) -> tuple[list[bytes], np.ndarray]:
-    """At most ``rows`` labelled texts that are not held out, the least by the hash of their id; half of each label if there are enough."""
+def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, rows: int, n_bytes: int = TRAIN_BYTES) -> tuple[list[bytes], np.ndarray]:
+    """At most ``rows`` labelled texts of ``n_bytes`` together that are not held out, the least by the hash of their id; half of each label if there are enough."""
     one = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(id_col)).groupBy(id_col).agg(F.min(label_col).alias("y"), F.max(label_col).alias("y2")).where("y = y2")
     turn = F.md5(F.col(id_col).cast("string").cast("binary"))
-    picked = [r for y in (0, 1) for r in one.where(F.col("y") == y).orderBy(turn, id_col).limit(rows // 2).select(F.col(id_col).alias("id"), "y").collect()]
+    picked = [r for y in (0, 1) for r in one.where(F.col("y") == y).orderBy(turn, id_col).limit(rows // 2).select(F.col(id_col).alias("id"), "y", turn.alias("turn")).collect()]
     if not picked:
         return [], np.zeros(0, np.int64)
-    near = F.broadcast(docs.sparkSession.createDataFrame(picked, one.select(F.col(id_col).alias("id"), "y").schema))  # at most ``rows`` rows
+    near = F.broadcast(docs.sparkSession.createDataFrame(picked, one.select(F.col(id_col).alias("id"), "y", turn.alias("turn")).schema))  # at most ``rows`` rows
     found = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).join(near, "id")
     # Of rows that repeat an id the least text counts.
-    got = found.groupBy("id", "y").agg(F.min("text").alias("text")).collect()
-    got.sort(key=lambda r: str(r["id"]))
+    found = persist_table(found.groupBy("id", "y", "turn").agg(F.min("text").alias("text")), "training-texts")
+    fit, left = [], n_bytes
+    for r in sorted(found.select("id", "turn", F.octet_length("text").alias("size")).collect(), key=lambda r: (r["turn"], str(r["id"]))):
+        if r["size"] <= left:
+            fit.append(r["id"])
+            left -= r["size"]
+    chosen = F.broadcast(docs.sparkSession.createDataFrame([(i,) for i in fit], found.select("id").schema))
+    got = sorted(found.join(chosen, "id", "left_semi").collect(), key=lambda r: str(r["id"]))
     return [r["text"].encode() for r in got], np.array([int(r["y"]) for r in got], np.int64)
 
 

@@ -148,6 +148,47 @@ def test_tables_equal_the_plain_network():
     assert np.allclose(qc.Scorer(net).tops(byte), want, atol=1e-4)
 
 
+def test_query_scores_equal_the_plain_network(spark):
+    """Every row of the query against filters applied one place at a time, chunk by chunk over the whole text."""
+    from folioscan.llm.queries import op8_quality_classifier
+
+    sf = "/root/testdata/sf0.001"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    net = qc.fit(docs, labels)
+
+    def plain(text):
+        byte = np.frombuffer((text or "").encode() or b" ", np.uint8)
+        tops = []
+        for a in range(0, max(1, len(byte) - qc.OVERLAP), qc.CHUNK - qc.OVERLAP):
+            c = net.class_of[byte[a : a + qc.CHUNK]]
+            x = net.vectors[np.pad(c, (0, max(0, qc.WIDTH - len(c))))].astype(np.float64)
+            runs = np.lib.stride_tricks.sliding_window_view(x, qc.WIDTH, axis=0)  # place, vector, position
+            tops.append(np.maximum(np.einsum("pvk,kvf->pf", runs, net.filters).max(0) + net.bias, 0))
+        z = np.concatenate([np.max(tops, 0), np.mean(tops, 0)]) @ net.out + net.out_bias
+        return 1 / (1 + np.exp(-z))
+
+    want = {r["doc_id"]: plain(r["text"]) for r in docs.collect()}
+    rows = op8_quality_classifier(spark, sf).collect()
+    assert len(rows) == len(want)
+    for r in rows:
+        assert abs(r["score"] - want[r["doc_id"]]) < 1e-3 and r["predicted"] == int(r["score"] >= 0.5) and r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1)
+
+
+def test_whole_texts_are_learned_from(spark):
+    """Bad texts differ from good ones in their last words alone, far behind the first chunk; the sample holds whole texts within its bytes."""
+    rng = np.random.default_rng(3)
+    words = ["lorem", "ipsum", "dolor", "sit", "amet", "elit"]
+    texts = [" ".join(rng.choice(words, 1000)) + (" $$$ ### $$$" if i % 2 else " amen") for i in range(120)]
+    net = qc.train([t.encode() for t in texts], np.array([(i + 1) % 2 for i in range(120)]))
+    scorer = qc.Scorer(net)
+    scores = np.array([scorer.score(np.frombuffer(t.encode(), np.uint8)) for t in texts])
+    assert (scores[::2] > 0.5).all() and (scores[1::2] < 0.5).all()
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(120)], "doc_id long, quality int")
+    got, _ = qc.sample(docs, labels, "doc_id", "text", "quality", 100, 20 * len(texts[0]))
+    assert 15 <= len(got) <= 22 and set(got) <= {t.encode() for t in texts} and sum(map(len, got)) <= 20 * len(texts[0])
+
+
 def test_a_bad_passage_counts_wherever_it_stands(spark):
     net = qc.train([b"plain words of prose " * 3] * 40 + [b"$$$ !!! ### ***"] * 40, np.array([1] * 40 + [0] * 40))
     clean = "plain words of prose " * 2000
