@@ -1,13 +1,16 @@
 """Quality rules: counts of each text, fixed base rules, and robust multivariate outliers.
 
 Each document has a vector of transformed statistics. For every pair of
-language and source a minimum-covariance-determinant estimate is found by
-concentration steps: from medians and spreads, each step takes the share
-``SUPPORT`` of documents with the least Mahalanobis distance and computes their
-mean and covariance anew. A step is one aggregation of a narrow stored table;
-groups of any size are summed by parts, and nothing of a document but its
-vector is read again. A document beyond the cutoff of the chi-squared
-distribution is rejected.
+language and source the minimum-covariance-determinant estimate is looked for:
+of all subsets that hold the share ``SUPPORT`` of the documents, the one whose
+covariance has the least determinant. Several deterministic starts (spreads of the
+coordinates, the covariance of their hyperbolic tangents, that of the directions
+from the medians) are led down by concentration steps, each of which takes the
+documents with the least Mahalanobis distance and computes their mean and
+covariance anew, until no determinant falls any more; then each group keeps the
+start with the least one. A step is one plan over a narrow stored table; groups
+of any size are summed by parts, and nothing of a document but its vector is read
+again. A document beyond the cutoff of the chi-squared distribution is rejected.
 
 The statistics vary from text to text in clean text too, so their covariance is
 estimated, not assumed. Shares by word are taken as if the text went on for
@@ -17,14 +20,17 @@ length. The logarithm of the number of words is a coordinate of the estimate, an
 the verdict is on the others given it, so no text is rejected for its length; nor
 is any for having fewer duplicate lines than its length lets expect.
 
-A group's covariance is blended with that of all groups as if the latter stood
-for ``PRIOR_ROWS`` documents, and to that of all groups the spreads in
-``FEATURES`` are added with the weight of one document, so tiny tables and
-constant coordinates give finite distances.
+A group's covariance is regularised: it is blended with a fixed one as if that
+stood for ``PRIOR_ROWS`` documents, so steps still lower the determinant. The
+fixed one is the estimate of the distances of all documents to the medians of
+their groups, to which the spreads in ``FEATURES`` are added with the weight of
+one document, so tiny tables and constant coordinates give finite distances.
 
 Defined results: null text has no words and fails the base rules; null
-languages and sources are groups of their own; repeated rows are judged alike;
-an empty table gives an empty result.
+languages and sources are groups of their own; repeated rows are judged alike,
+and rows at equal distances are in the subset together; very long texts are
+counted whole; other columns are not looked at; an empty table gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -35,10 +41,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioscan.llm.common import small_or_plain
+from folioscan.llm.common import BROADCAST_ROWS, dealt_join
 from folioscan.llm.textscan import IS_FIRST, IS_SPACE, Texts, Words, per_text, releasing, slices, texts_of, windows_of, words_of
 from folioscan.workspace import persist_table
 
@@ -47,7 +53,8 @@ REPEAT_WINDOW = 8
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 SUPPORT = 0.75
-STEPS = 6
+#: Steps at most, and the fall of the logarithm of a determinant that counts as none.
+STEPS, SETTLED = 40, 1e-7
 PRIOR_ROWS = 40
 SMOOTH_WORDS = 100
 NEAR_WORDS = 100
@@ -190,74 +197,160 @@ def _consistency() -> float:
     return SUPPORT / _gamma_p((P + 2) / 2, chi2_quantile(P, SUPPORT) / 2)
 
 
-def _estimates(moments: DataFrame, factor: float, given: int | None = None) -> DataFrame:
-    """Sums of each group to (lang, source, centre, inverse): a row in, a row out.
-
-    With ``given`` the inverse is that of the other coordinates once that one is known.
-    """
-    within = [(F.sum(F.col(f"q{i}{j}") - F.col(f"s{i}") * F.col(f"s{j}") / F.col("n")) / F.sum("n")).alias(f"w{i}{j}") for i, j in PAIRS]
-    pooled = moments.agg(F.sum("n").alias("n"), *within).first().asDict()  # the covariance within groups, over all: one row
-    all2 = np.zeros((P, P))
-    for i, j in PAIRS:
-        all2[i, j] = all2[j, i] = pooled[f"w{i}{j}"] or 0.0
-    n = pooled["n"] or 0
-    all2 = (n * all2 + np.diag(np.array(list(FEATURES.values())) ** 2)) / (n + 1)
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            out = []
-            for r in f.itertuples(index=False):
-                s2 = np.zeros((P, P))
-                mean = np.array([getattr(r, f"s{i}") for i in range(P)]) / r.n
-                for i, j in PAIRS:
-                    s2[i, j] = s2[j, i] = getattr(r, f"q{i}{j}") / r.n - mean[i] * mean[j]
-                cov = factor * (r.n * s2 + PRIOR_ROWS * all2) / (r.n + PRIOR_ROWS)
-                inverse = np.linalg.inv(cov)
-                if given is not None:
-                    inverse[given, given] -= 1 / cov[given, given]
-                out.append((r.lang, r.source, mean.tolist(), inverse.ravel().tolist()))
-            yield pd.DataFrame(out, columns=["lang", "source", "centre", "inverse"])
-
-    return moments.mapInPandas(run, "lang string, source string, centre array<double>, inverse array<double>")
-
-
-def _moments(rows: DataFrame) -> DataFrame:
-    x = [F.col("x")[i] for i in range(P)]
-    return rows.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"), *[F.sum(x[i]).alias(f"s{i}") for i in range(P)], *[F.sum(x[i] * x[j]).alias(f"q{i}{j}") for i, j in PAIRS])
-
-
-def _distance(rows: DataFrame, estimates: DataFrame, one_sided: int | None = None) -> DataFrame:
-    """With ``d2``; what the coordinate ``one_sided`` falls short of, given the others, does not count."""
-    near = small_or_plain(estimates.withColumnsRenamed({"lang": "l2", "source": "s2"}))
-    joined = rows.join(near, F.col("lang").eqNullSafe(F.col("l2")) & F.col("source").eqNullSafe(F.col("s2"))).drop("l2", "s2")
-    d = [F.col("x")[i] - F.col("centre")[i] for i in range(P)]
-    terms = [d[i] * d[j] * F.col("inverse")[i * P + j] * (1 if i == j else 2) for i, j in PAIRS]
-    d2 = sum(terms[1:], terms[0])
-    if one_sided is not None:
-        beyond = sum((d[j] * F.col("inverse")[one_sided * P + j] for j in range(P)), F.lit(0.0))
-        d2 = d2 - F.when(beyond < 0, beyond * beyond / F.col("inverse")[one_sided * P + one_sided]).otherwise(0.0)
-    return joined.withColumn("d2", d2).drop("centre", "inverse")
-
-
-def robust_distance(rows: DataFrame, steps: int = STEPS, given: int | None = None, one_sided: int | None = None) -> DataFrame:
+def _x() -> list[Column]:
+    return [F.col("x")[i] for i in range(P)]
+
+
+def _square(values) -> np.ndarray:
+    """A symmetric matrix from its values by PAIRS."""
+    m = np.zeros((P, P))
+    for (i, j), v in zip(PAIRS, values, strict=True):
+        m[i, j] = m[j, i] = v
+    return m
+
+
+def _sums(y: list) -> list:
+    """Aggregates n, s (sums) and q (sums of products by PAIRS) of the coordinates ``y``."""
+    return [F.count(F.lit(1)).alias("n"), F.array(*[F.sum(c) for c in y]).alias("s"), F.array(*[F.sum(y[i] * y[j]) for i, j in PAIRS]).alias("q")]
+
+
+def _covariance(n: float, s, q) -> tuple[np.ndarray, np.ndarray]:
+    mean = np.asarray(s, float) / n
+    return mean, _square(np.asarray(q, float) / n) - np.outer(mean, mean)
+
+
+def _d2(centre: Column, inverse: Column) -> Column:
+    d = [x - centre[i] for i, x in enumerate(_x())]
+    terms = [d[i] * d[j] * inverse[i * P + j] * (1 if i == j else 2) for i, j in PAIRS]
+    return sum(terms[1:], terms[0])
+
+
+def _common_covariance(centred: DataFrame) -> np.ndarray:
+    """The estimate for all documents as one group, ``x`` being taken from the medians of their groups; rows of single numbers reach the driver."""
+    assumed = np.array(list(FEATURES.values()))
+    spreads = centred.agg(F.count(F.lit(1)).alias("n"), *[F.percentile_approx(x, F.array(F.lit(0.25), F.lit(0.75)), 10_000).alias(f"p{i}") for i, x in enumerate(_x())]).first()
+    n = spreads["n"]
+    if not n:
+        return np.diag(assumed**2)
+    ridge = np.diag(assumed**2) / (n + 1)
+    covariance, mean, before = np.diag([((spreads[f"p{i}"][1] - spreads[f"p{i}"][0]) / 1.349) ** 2 for i in range(P)]) + ridge, np.zeros(P), math.inf
+    for _ in range(STEPS):
+        at = F.array(*[F.lit(float(v)) for v in mean])
+        distance = centred.select("x", _d2(at, F.array(*[F.lit(float(v)) for v in np.linalg.inv(covariance).ravel()])).alias("d2"))
+        reach = distance.agg(F.percentile_approx("d2", SUPPORT, 10_000)).first()[0]
+        r = distance.where(F.col("d2") <= F.lit(reach)).agg(*_sums(_x())).first()
+        mean, inner = _covariance(r["n"], r["s"], r["q"])
+        covariance = _consistency() * inner * n / (n + 1) + ridge
+        now = np.linalg.slogdet(covariance)[1]
+        if now > before - 1e-4:
+            break
+        before = now
+    return covariance
+
+
+class Estimates:
+    """Concentration steps of all groups and starts; rows: stored, with ``group`` and ``x``."""
+
+    def __init__(self, rows: DataFrame):
+        self.rows = rows
+        middle = rows.groupBy("group").agg(F.count(F.lit(1)).alias("n"), *[F.percentile_approx(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 10_000).alias(f"p{i}") for i, x in enumerate(_x())])
+        assumed = list(FEATURES.values())
+        spread = [F.greatest((F.col(f"p{i}")[2] - F.col(f"p{i}")[0]) / 1.349, assumed[i] / F.sqrt("n")) for i in range(P)]
+        middle = persist_table(middle.select("group", F.array(*[F.col(f"p{i}")[1] for i in range(P)]).alias("median"), F.array(*spread).alias("spread")), "mcd-medians")
+        self.few = middle.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+        near = self.meet(rows.select("group", "x"), middle, "group")
+        self.common = _common_covariance(near.select(F.transform(F.arrays_zip("x", "median"), lambda v: v["x"] - v["median"]).alias("x")))
+        self.table = persist_table(self._starts(near), "mcd-start")
+
+    def meet(self, rows: DataFrame, table: DataFrame, *keys: str) -> DataFrame:
+        """Join with a table of a row for each group, or a few."""
+        return rows.join(F.broadcast(table), list(keys)) if self.few else dealt_join(rows, table, list(keys), ["x"])
+
+    def _starts(self, near: DataFrame) -> DataFrame:
+        """(group, start, centre, inverse, logdet) for each start."""
+        scaled = near.select("group", "median", "spread", F.transform(F.sequence(F.lit(0), F.lit(P - 1)), lambda i: (F.get("x", i) - F.get("median", i)) / F.get("spread", i)).alias("u"))
+        length = F.sqrt(F.aggregate("u", F.lit(0.0), lambda t, v: t + v * v))
+        bent = scaled.withColumn("x", F.transform("u", lambda v: F.tanh(v)))
+        signs = scaled.withColumn("x", F.transform("u", lambda v: F.when(length > 0, v / length).otherwise(0.0)))
+        both = bent.withColumn("start", F.lit(1)).unionByName(signs.withColumn("start", F.lit(2)))
+        moments = both.groupBy("group", "start").agg(F.min("median").alias("median"), F.min("spread").alias("spread"), *_sums(_x()))
+
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for f in frames:
+                out = []
+                for r in f.itertuples(index=False):
+                    spread = np.asarray(r.spread)
+                    shapes = [_square(np.asarray(r.q) / r.n)]
+                    if r.start == 1:
+                        shapes.append(np.diag(np.ones(P)))  # the spreads alone, once a group
+                    for k, shape in enumerate(shapes):
+                        shape = shape / max(np.trace(shape), 1e-9) * P + 1e-6 * np.eye(P)
+                        inverse = np.linalg.inv(shape * np.outer(spread, spread))
+                        out.append((r.group, 0 if k else r.start, list(r.median), inverse.ravel().tolist(), None))
+                yield pd.DataFrame(out, columns=["group", "start", "centre", "inverse", "logdet"])
+
+        return moments.mapInPandas(run, "group string, start int, centre array<double>, inverse array<double>, logdet double")
+
+    def step(self) -> None:
+        """One concentration step."""
+        placed = self.meet(self.rows.select("group", "x"), self.table, "group").select("group", "start", "x", "logdet", _d2(F.col("centre"), F.col("inverse")).alias("d2"))
+        reach = placed.groupBy("group", "start").agg(F.percentile_approx("d2", SUPPORT, 10_000).alias("reach"))
+        moments = self.meet(placed, reach, "group", "start").where("d2 <= reach").groupBy("group", "start").agg(F.max("logdet").alias("before"), *_sums(_x()))
+        common, factor = self.common, _consistency()
+
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for f in frames:
+                out = []
+                for r in f.itertuples(index=False):
+                    mean, inner = _covariance(r.n, r.s, r.q)
+                    covariance = regularised(inner, r.n, common, factor)
+                    out.append((r.group, r.start, mean.tolist(), np.linalg.inv(covariance).ravel().tolist(), float(np.linalg.slogdet(covariance)[1]), r.before))
+                yield pd.DataFrame(out, columns=["group", "start", "centre", "inverse", "logdet", "before"])
+
+        self.table = persist_table(moments.mapInPandas(run, "group string, start int, centre array<double>, inverse array<double>, logdet double, before double"), "mcd-step")
+
+    def settle(self) -> DataFrame:
+        """Steps until no determinant falls any more; (group, centre, inverse, logdet) of the start with the least."""
+        for _ in range(STEPS):
+            self.step()
+            if not self.table.where(F.col("before").isNull() | (F.col("logdet") < F.col("before") - SETTLED)).take(1):
+                break
+        best = F.min(F.struct("logdet", "start", "centre", "inverse"))
+        return persist_table(self.table.groupBy("group").agg(best.alias("b")).select("group", "b.centre", "b.inverse", "b.logdet"), "mcd-best")
+
+
+def regularised(inner: np.ndarray, n: int, common: np.ndarray, factor: float) -> np.ndarray:
+    return (n * factor * inner + PRIOR_ROWS * common) / (n + PRIOR_ROWS)
+
+
+def robust_distance(rows: DataFrame, given: int | None = None, one_sided: int | None = None) -> DataFrame:
     """``rows`` (stored; lang, source, x) with ``d2``, the squared robust distance to the centre of its group.
 
     ``given``: the coordinate given which the others are judged. ``one_sided``: one that only counts above what is expected.
     """
-    x = [F.col("x")[i] for i in range(P)]
-    middle = rows.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"), *[F.percentile_approx(x[i], F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 10_000).alias(f"p{i}") for i in range(P)])
-    assumed = list(FEATURES.values())
-    spread = [F.greatest((F.col(f"p{i}")[2] - F.col(f"p{i}")[0]) / 1.349, assumed[i] / F.sqrt("n")) for i in range(P)]
-    inverse = F.array(*[(1 / (spread[i] * spread[i])) if i == j else F.lit(0.0) for i in range(P) for j in range(P)])
-    estimates = persist_table(middle.select("lang", "source", F.array(*[F.col(f"p{i}")[1] for i in range(P)]).alias("centre"), inverse.alias("inverse")), "mcd-start")
-    for step in range(steps):
-        placed = _distance(rows, estimates)
-        reach = persist_table(placed.groupBy("lang", "source").agg(F.percentile_approx("d2", SUPPORT, 10_000).alias("reach")), f"mcd-reach{step}")
-        near = small_or_plain(reach.withColumnsRenamed({"lang": "l3", "source": "s3"}))
-        inner = placed.join(near, F.col("lang").eqNullSafe(F.col("l3")) & F.col("source").eqNullSafe(F.col("s3"))).where("d2 <= reach")
-        moments = persist_table(_moments(inner), f"mcd-moments{step}")
-        estimates = persist_table(_estimates(moments, _consistency(), given if step == steps - 1 else None), f"mcd-step{step}")
-    return _distance(rows, estimates, one_sided)
+    part = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit(""))
+    grouped = rows.withColumn("group", F.concat(part("lang"), F.lit("\0"), part("source")))
+    found = Estimates(grouped)
+    estimates = found.settle()
+    if given is not None:
+        estimates = persist_table(estimates.mapInPandas(lambda frames: (_given(f, given) for f in frames), estimates.schema), "mcd-given")
+    joined = found.meet(grouped, estimates, "group")
+    centre, inverse = F.col("centre"), F.col("inverse")
+    d2 = _d2(centre, inverse)
+    if one_sided is not None:
+        beyond = sum(((x - centre[j]) * inverse[one_sided * P + j] for j, x in enumerate(_x())), F.lit(0.0))
+        d2 = d2 - F.when(beyond < 0, beyond * beyond / inverse[one_sided * P + one_sided]).otherwise(0.0)
+    return joined.withColumn("d2", d2).select(*rows.columns, "d2")
+
+
+def _given(frame: pd.DataFrame, given: int) -> pd.DataFrame:
+    """Estimates whose inverses are those of the other coordinates once ``given`` is known."""
+    out = []
+    for inverse in frame["inverse"]:
+        m = np.array(inverse, float).reshape(P, P)
+        m[given, given] -= 1 / np.linalg.inv(m)[given, given]
+        out.append(m.ravel().tolist())
+    return frame.assign(inverse=out)
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:

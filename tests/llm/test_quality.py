@@ -1,5 +1,7 @@
 """Quality rules against brute force, and both quality operators against labels."""
 
+import itertools
+import math
 import random
 import re
 import zlib
@@ -58,6 +60,119 @@ def test_estimate_resists_outliers(spark):
         assert 0.6 * (x := good[i] @ plain @ good[i]) - 0.5 <= d2[i] <= 1.1 * x + 0.5
 
 
+def rank(values, share):
+    """The value that percentile_approx gives for few rows."""
+    return sorted(values)[max(1, math.ceil(share * len(values))) - 1]
+
+
+def shape(x):
+    mean = x.mean(0)
+    return mean, (x - mean).T @ (x - mean) / len(x)
+
+
+def distance(x, mean, covariance):
+    d = x - mean
+    return np.einsum("ij,jk,ik->i", d, np.linalg.inv(covariance), d)
+
+
+def plain_estimates(groups):
+    """Centre and covariance of each group: every start, step by step, as the rule is told; and the fixed covariance."""
+    factor, assumed = qr._consistency(), np.array(list(qr.FEATURES.values()))
+    middle = {g: np.array([rank(x[:, i], 0.5) for i in range(qr.P)]) for g, x in groups.items()}
+    spread = {g: np.array([max((rank(x[:, i], 0.75) - rank(x[:, i], 0.25)) / 1.349, assumed[i] / math.sqrt(len(x))) for i in range(qr.P)]) for g, x in groups.items()}
+    far = np.concatenate([x - middle[g] for g, x in groups.items()])
+    n, ridge = len(far), np.diag(assumed**2) / (len(far) + 1)
+    common, mean, before = np.diag([((rank(far[:, i], 0.75) - rank(far[:, i], 0.25)) / 1.349) ** 2 for i in range(qr.P)]) + ridge, np.zeros(qr.P), math.inf
+    while True:
+        d2 = distance(far, mean, common)
+        mean, inner = shape(far[d2 <= rank(d2, qr.SUPPORT)])
+        common = factor * inner * n / (n + 1) + ridge
+        if not (now := np.linalg.slogdet(common)[1]) <= before - 1e-4:
+            break
+        before = now
+    out = {}
+    for g, x in groups.items():
+        u = (x - middle[g]) / spread[g]
+        sign = u / np.maximum(np.linalg.norm(u, axis=1, keepdims=True), 1e-300)
+        best = (math.inf,)
+        for m in (np.eye(qr.P), np.tanh(u).T @ np.tanh(u) / len(u), sign.T @ sign / len(u)):
+            m = m / max(np.trace(m), 1e-9) * qr.P + 1e-6 * np.eye(qr.P)
+            mean, covariance, before = middle[g], m * np.outer(spread[g], spread[g]), math.inf
+            while True:
+                d2 = distance(x, mean, covariance)
+                inner = x[d2 <= rank(d2, qr.SUPPORT)]
+                mean, c = shape(inner)
+                covariance = qr.regularised(c, len(inner), common, factor)
+                if not (now := np.linalg.slogdet(covariance)[1]) < before - 1e-9:
+                    break
+                before = now
+            if now < best[0] - 1e-9:
+                best = (now, mean, covariance)
+        out[g] = best
+    return out, common
+
+
+def test_verdicts_of_the_query_by_brute_force(spark):
+    """kept of every row of sf0.01, by plain estimates of every group."""
+    from folioscan.llm.queries import op7_quality_rules
+
+    sf = "/root/testdata/sf0.01"
+    counts = qr.measure(spark.read.parquet(f"{sf}/documents.parquet")).collect()
+    good = [r for r in counts if r["n_words"] >= 20 and 100 * r["n_repeat_words"] <= 30 * r["n_words"]]
+    usual = [rank([r[c] / r["n_words"] for r in good], 0.5) for c in ("word_chars", "n_marks", "n_near_words")]
+
+    def vector(r):
+        a, b, c = (math.log((r[k] + qr.SMOOTH_WORDS * m + 0.5) / (r["n_words"] + qr.SMOOTH_WORDS)) for k, m in zip(("word_chars", "n_marks", "n_near_words"), usual, strict=True))
+        return [math.log(r["n_words"]), a, b, math.log((r["n_dup_lines"] + 0.5) / (r["n_lines"] - r["n_dup_lines"] + 0.5)), c]
+
+    groups = {}
+    for r in good:
+        groups.setdefault((r["lang"], r["source"]), []).append((r["id"], vector(r)))
+    estimates, _ = plain_estimates({g: np.array([x for _, x in rows]) for g, rows in groups.items()})
+    cut, kept = qr.chi2_quantile(qr.P - 1, 1 - qr.CUTOFF_TAIL), {r["id"]: False for r in counts}
+    near = 0
+    for g, rows in groups.items():
+        _, mean, covariance = estimates[g]
+        m = np.linalg.inv(covariance)
+        m[qr.GIVEN, qr.GIVEN] -= 1 / covariance[qr.GIVEN, qr.GIVEN]
+        for i, x in rows:
+            d = np.array(x) - mean
+            beyond = d @ m[qr.ONE_SIDED]
+            d2 = d @ m @ d - (beyond**2 / m[qr.ONE_SIDED, qr.ONE_SIDED] if beyond < 0 else 0)
+            kept[i] = d2 <= cut
+            near += abs(d2 - cut) < 1e-3 * cut
+    got = {r["doc_id"]: r["kept"] for r in op7_quality_rules(spark, sf).collect()}
+    assert len(got) == len(counts) and sum(v != got[i] for i, v in kept.items()) <= near and 0 < sum(kept.values()) < len(good)
+
+
+def test_least_determinant_of_all_subsets(spark):
+    """Small groups with outliers: the determinant found is that of the best of all subsets of the share, nearly always."""
+    rng = np.random.default_rng(11)
+    rows, groups = [], {}
+    for g in range(24):
+        mix = rng.normal(0, 1, (qr.P, qr.P))
+        x = rng.normal(0, 1, (13, qr.P)) @ mix
+        x[:3] += rng.normal(0, 8, qr.P)
+        groups[f"g{g}"] = x
+        rows += [(g * 100 + i, "en", f"g{g}", v.tolist()) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "id long, lang string, source string, x array<double>")
+    found = qr.Estimates(df.withColumn("group", F.col("source")))
+    got = {r["group"]: r["logdet"] for r in found.settle().collect()}
+    size, same = math.ceil(qr.SUPPORT * 13), 0
+    for g, x in groups.items():
+        best = min(np.linalg.slogdet(qr.regularised(shape(x[list(pick)])[1], size, found.common, qr._consistency()))[1] for pick in itertools.combinations(range(13), size))
+        assert best - 1e-6 <= got[g] <= best + 0.5
+        same += abs(got[g] - best) < 1e-6
+    assert same >= 20, same
+
+
+def test_rows_that_repeat_and_groups_of_one(spark):
+    rows = [(1, "word " * 30 + "x", None, None)] * 5 + [(2, "a b c d e f g h " * 2 + "i j k l m n", "en", "only"), (3, "long " * 3 + "text, and more of it. " * 40_000, "en", "s")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").withColumns({"group": F.lit(1), "x": F.lit("own"), "d2": F.lit(0.0)})
+    got = qr.judge(df).collect()
+    assert len(got) == 7 and len({str(r) for r in got if r["id"] == 1}) == 1 and all(r["kept"] in (True, False) for r in got)
+
+
 def test_chi2_quantile():
     draws = np.random.default_rng(1).chisquare(4, 400_000)
     for share in (0.5, 0.75, 0.99):
