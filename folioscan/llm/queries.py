@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscan.llm import dedup_exact, license_scan, mixing, near_dedup, packing, quality_classifier, quality_rules, tokens, url_filter, warc
+from folioscan.llm.common import dealt_join
 
 
 def tokenizer(name: str) -> str:
@@ -23,11 +24,16 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def page_outcomes(pages: DataFrame, labels: DataFrame) -> DataFrame:
-    """(host, bad) of each page. A page shows the document whose number ends its path; it is bad if that is of low quality or toxic."""
+    """(host, bad, n) of pages. A page shows the document whose number ends its path; it is bad if that is of low quality or toxic.
+
+    Pages are counted by host and document first; those that show none are never joined.
+    """
     host, path = url_filter.host_of(F.col("url")), url_filter.path_of(F.col("url"))
     shown = pages.select(host.alias("host"), F.regexp_extract(path, r"/([0-9]{1,18})(?:\.html)?/?$", 1).try_cast("long").alias("doc_id"))
+    shown = shown.groupBy("host", "doc_id").agg(F.count(F.lit(1)).alias("n"))
     outcome = labels.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max((F.col("quality") == 0) | (F.col("toxic") == 1)).cast("int").alias("bad"))
-    return shown.join(outcome, "doc_id", "left").select("host", "bad")
+    some = dealt_join(shown.where("doc_id IS NOT NULL"), outcome, ["doc_id"], ["host"], "left").select("host", "bad", "n")
+    return some.unionByName(shown.where("doc_id IS NULL").select("host", F.lit(None).cast("int").alias("bad"), "n"))
 
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

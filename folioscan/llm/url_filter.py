@@ -9,12 +9,18 @@ its posterior lies above ``MAX_BAD``: few or no labels leave a host at its
 domain's rate with wide bounds.
 
 Counts are summed before they are moved, so a host with a third of all pages is
-a row for each task. Only blocked hosts meet the pages again.
+a row for each task; the members of a large domain or suffix are dealt over
+several tasks where they meet its rate. Only blocked hosts meet the pages again.
+
+Suffixes are a parameter: those of two labels and more below which names are
+registered, a short list by default, or a published list read by
+``read_suffixes``. Addresses and names without a dot share one suffix each.
 
 Defined results: null URLs and those without ``://`` have an empty host and path
 and are a host of their own; labels that are null don't count; repeated rows are
-judged alike; an empty table gives an empty result; other columns are not
-looked at.
+judged alike, each counting as a page; of rules that fit equally long the last by
+name holds; very long URLs are matched whole; an empty table gives an empty
+result; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -26,12 +32,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioscan.llm.common import small_or_plain
+from folioscan.llm.common import dealt_join, small_or_plain
 from folioscan.workspace import persist_table
 
 #: (verdict, host, path): a rule fits its host and all subdomains below that path.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
-#: Suffixes of two labels below which names are registered.
+#: Suffixes of two labels below which names are registered; ``read_suffixes`` reads longer lists.
 TWO_LABEL_SUFFIXES = ("ac.uk", "co.in", "co.jp", "co.kr", "co.nz", "co.uk", "co.za", "com.ar", "com.au", "com.br", "com.cn", "com.mx", "com.tr", "gov.uk", "net.au", "org.au", "org.uk")
 MAX_BAD = 0.5
 TAIL = 0.05
@@ -48,14 +54,29 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, _PARTS, 2), F.lit(""))
 
 
-def suffix_and_domain(host: Column) -> tuple[Column, Column]:
-    """The public suffix and the registered domain; both are the name itself for addresses and single labels."""
+def read_suffixes(path: str) -> tuple[str, ...]:
+    """Suffixes of several labels of a list with one a line: comments (//) and exceptions (!) are left out, wildcards (*.) stand for their parent's names."""
+    with open(path, encoding="utf-8") as f:
+        lines = [line.split("//")[0].strip().lower() for line in f]
+    return tuple(sorted({line for line in lines if line.count(".") and not line.startswith("!")}))
+
+
+def suffix_and_domain(host: Column, suffixes: Sequence[str] = TWO_LABEL_SUFFIXES) -> tuple[Column, Column]:
+    """The public suffix and the registered domain: one label more. Addresses and single labels are their own domain, and share a suffix each."""
     name = F.regexp_replace(host, r"^.*@|:[0-9]*$|\.+$", "")
-    two, three = F.substring_index(name, ".", -2), F.substring_index(name, ".", -3)
-    long = two.isin(*TWO_LABEL_SUFFIXES)
-    address = name.rlike(r"^[0-9.]+$|\[") | ~name.contains(".")
-    suffix = F.when(address, name).when(long, two).otherwise(F.substring_index(name, ".", -1))
-    return suffix, F.when(address, name).when(long, three).otherwise(two)
+    labels = max((s.count(".") + 1 for s in suffixes), default=1)
+    tail = lambda n: F.substring_index(name, ".", -n)
+    address, single = name.rlike(r"^[0-9.]+$|\["), ~name.contains(".")
+    suffix, domain = tail(1), tail(2)
+    for n in range(2, labels + 1):  # the longest that is listed holds
+        exact = [s for s in suffixes if s.count(".") == n - 1 and not s.startswith("*.")]
+        wild = [s[2:] for s in suffixes if s.count(".") == n - 1 and s.startswith("*.")]
+        listed = F.substring_index(tail(n), ".", -n).isin(*exact) if exact else F.lit(False)
+        if wild:
+            listed = listed | tail(n - 1).isin(*wild) & (tail(n) != tail(n - 1))
+        suffix, domain = F.when(listed, tail(n)).otherwise(suffix), F.when(listed, tail(n + 1)).otherwise(domain)
+    suffix = F.when(address, "(address)").when(single, "(name)").otherwise(suffix)
+    return suffix, F.when(address | single, name).otherwise(domain)
 
 
 def rule_column(host: Column, path: Column, rules: Sequence[tuple[str, str, str]] = RULES) -> Column:
@@ -123,10 +144,12 @@ def _concentration(members: DataFrame) -> float:
     return 1 / rho - 1
 
 
-def reputation(outcomes: DataFrame, tail: float = TAIL) -> DataFrame:
-    """(host, bad: 0, 1 or null for a page without a label) to host, domain, suffix, n, bad, rate, bound."""
-    suffix, domain = suffix_and_domain(F.col("host"))
-    hosts = outcomes.groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum(F.col("bad").cast("long")), F.lit(0)).alias("bad"))
+def reputation(outcomes: DataFrame, tail: float = TAIL, suffixes: Sequence[str] = TWO_LABEL_SUFFIXES) -> DataFrame:
+    """(host, bad: 0, 1 or null for a page without a label; n: of how many such pages, one if absent) to host, domain, suffix, n, bad, rate, bound."""
+    suffix, domain = suffix_and_domain(F.col("host"), suffixes)
+    times = F.col("n") if "n" in outcomes.columns else F.lit(1).cast("long")
+    labelled = F.coalesce(F.sum(F.when(F.col("bad").isNotNull(), times)), F.lit(0))
+    hosts = outcomes.groupBy("host").agg(labelled.alias("n"), F.coalesce(F.sum(F.col("bad").cast("long") * times), F.lit(0)).alias("bad"))
     hosts = persist_table(hosts.select("host", suffix.alias("suffix"), domain.alias("domain"), "n", "bad"), "hosts")
     total = hosts.agg(F.sum("bad").alias("bad"), F.sum("n").alias("n")).first()
     overall = ((total["bad"] or 0) + 0.5) / ((total["n"] or 0) + 1)
@@ -136,10 +159,10 @@ def reputation(outcomes: DataFrame, tail: float = TAIL) -> DataFrame:
         rate = (F.col("bad") + kappa * F.col("parent_rate")) / (F.col("n") + kappa)
         return persist_table(members.withColumn("rate", rate), label), kappa
 
-    suffixes, _ = shrink(hosts.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).withColumn("parent_rate", F.lit(overall)), "suffixes")
+    tops, _ = shrink(hosts.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).withColumn("parent_rate", F.lit(overall)), "suffixes")
     domains = hosts.groupBy("suffix", "domain").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-    domains, _ = shrink(domains.join(suffixes.select("suffix", F.col("rate").alias("parent_rate")), "suffix"), "domains")
-    members, kappa = shrink(hosts.join(domains.select("suffix", "domain", F.col("rate").alias("parent_rate")), ["suffix", "domain"]), "host-rates")
+    domains, _ = shrink(dealt_join(domains, tops.select("suffix", F.col("rate").alias("parent_rate")), ["suffix"], ["domain"]), "domains")
+    members, kappa = shrink(dealt_join(hosts, domains.select("suffix", "domain", F.col("rate").alias("parent_rate")), ["suffix", "domain"], ["host"]), "host-rates")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -150,11 +173,12 @@ def reputation(outcomes: DataFrame, tail: float = TAIL) -> DataFrame:
     return members.mapInPandas(run, "host string, domain string, suffix string, n long, bad long, rate double, bound double")
 
 
-def judge(pages: DataFrame, outcomes: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: Sequence[tuple[str, str, str]] = RULES, max_bad: float = MAX_BAD) -> DataFrame:
+def judge(pages: DataFrame, outcomes: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: Sequence[tuple[str, str, str]] = RULES, max_bad: float = MAX_BAD, suffixes: Sequence[str] = TWO_LABEL_SUFFIXES) -> DataFrame:
     """A row for each page: id, host, path, rule, verdict. outcomes: (host, bad), see ``reputation``."""
-    blocked = persist_table(reputation(outcomes).where(F.col("bound") > max_bad).select(F.col("host").alias("bad_host")), "blocked-hosts")
+    blocked = persist_table(reputation(outcomes, suffixes=suffixes).where(F.col("bound") > max_bad).select("host", F.lit(True).alias("blocked")), "blocked-hosts")
     rows = pages.select(F.col(id_col).alias("id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
     rows = rows.withColumn("found", rule_column(F.col("host"), F.col("path"), rules))
-    joined = rows.join(small_or_plain(blocked), F.col("host") == F.col("bad_host"), "left")
-    by_method = F.when(F.col("bad_host").isNotNull(), "block").otherwise("allow")
+    small = small_or_plain(blocked)
+    joined = rows.join(small, "host", "left") if small is not blocked else dealt_join(rows, blocked, ["host"], ["id", "path"], "left")
+    by_method = F.when(F.col("blocked"), "block").otherwise("allow")
     return joined.select("id", "host", "path", "found.rule", F.coalesce("found.verdict", by_method).alias("verdict"))
