@@ -4,9 +4,10 @@ Outcomes of labelled pages are counted by host, and hosts within registered
 domains within suffixes. On each level the rates below one parent follow a beta
 distribution around the parent's rate; its concentration is found by moments
 from all members of the level, and each member's rate is shrunk towards its
-parent accordingly, from the top down. A host is blocked if the lower bound of
-its posterior lies above ``MAX_BAD``: few or no labels leave a host at its
-domain's rate with wide bounds.
+parent accordingly, from the top down. What is not sure about the parent's rate
+is not sure about its members': a prior is as wide as the level and the parent's
+posterior together, so a name without labels below a large suffix has a wide one.
+A host is blocked if the lower bound of its posterior lies above ``MAX_BAD``.
 
 Counts are summed before they are moved, so a host with a third of all pages is
 a row for each task; the members of a large domain or suffix are dealt over
@@ -154,20 +155,25 @@ def reputation(outcomes: DataFrame, tail: float = TAIL, suffixes: Sequence[str]
     total = hosts.agg(F.sum("bad").alias("bad"), F.sum("n").alias("n")).first()
     overall = ((total["bad"] or 0) + 0.5) / ((total["n"] or 0) + 1)
 
-    def shrink(members: DataFrame, label: str) -> tuple[DataFrame, float]:
-        kappa = _concentration(members)
-        rate = (F.col("bad") + kappa * F.col("parent_rate")) / (F.col("n") + kappa)
-        return persist_table(members.withColumn("rate", rate), label), kappa
+    def shrink(members: DataFrame, label: str) -> DataFrame:
+        """Members (n, bad, parent_rate, parent_weight) with their prior's weight, their rate, and the weight of their posterior, in pages."""
+        prior = 1 / (1 / (F.lit(_concentration(members)) + 1) + 1 / (F.col("parent_weight") + 1)) - 1
+        rate = (F.col("bad") + F.col("prior") * F.col("parent_rate")) / (F.col("n") + F.col("prior"))
+        return persist_table(members.withColumn("prior", prior).withColumns({"rate": rate, "weight": F.col("n") + F.col("prior")}), label)
 
-    tops, _ = shrink(hosts.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).withColumn("parent_rate", F.lit(overall)), "suffixes")
+    def parent(table: DataFrame, *keys: str) -> DataFrame:
+        return table.select(*keys, F.col("rate").alias("parent_rate"), F.col("weight").alias("parent_weight"))
+
+    tops = hosts.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
+    tops = shrink(tops.withColumns({"parent_rate": F.lit(overall), "parent_weight": F.lit(float((total["n"] or 0) + 1))}), "suffixes")
     domains = hosts.groupBy("suffix", "domain").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-    domains, _ = shrink(dealt_join(domains, tops.select("suffix", F.col("rate").alias("parent_rate")), ["suffix"], ["domain"]), "domains")
-    members, kappa = shrink(dealt_join(hosts, domains.select("suffix", "domain", F.col("rate").alias("parent_rate")), ["suffix", "domain"], ["host"]), "host-rates")
+    domains = shrink(dealt_join(domains, parent(tops, "suffix"), ["suffix"], ["domain"]), "domains")
+    members = shrink(dealt_join(hosts, parent(domains, "suffix", "domain"), ["suffix", "domain"], ["host"]), "host-rates")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            a = (f.bad + kappa * f.parent_rate).to_numpy(float)
-            b = (f.n - f.bad + kappa * (1 - f.parent_rate)).to_numpy(float)
+            a = (f.bad + f.prior * f.parent_rate).to_numpy(float)
+            b = (f.n - f.bad + f.prior * (1 - f.parent_rate)).to_numpy(float)
             yield f.assign(bound=beta_bound(a, b, tail))[["host", "domain", "suffix", "n", "bad", "rate", "bound"]]
 
     return members.mapInPandas(run, "host string, domain string, suffix string, n long, bad long, rate double, bound double")

@@ -72,21 +72,26 @@ def brute_bounds(outcomes):
         return out
 
     def shrunk(members, parent):
+        """Member to (prior's weight, rate, posterior's weight); parent: member to (rate, weight)."""
         seen = {m: (n, b) for m, (n, b) in members.items() if n}
-        s = sum((b - n * parent(m)) ** 2 / n / (parent(m) * (1 - parent(m))) for m, (n, b) in seen.items())
+        s = sum((b - n * parent(m)[0]) ** 2 / n / (parent(m)[0] * (1 - parent(m)[0])) for m, (n, b) in seen.items())
         free = sum(n - 1 for n, _ in seen.values())
         rho = min(max((s - len(seen)) / free, uf.LEAST_CORRELATION), uf.MOST_CORRELATION) if seen and free else uf.MOST_CORRELATION
-        kappa = 1 / rho - 1
-        return {m: (b + kappa * parent(m)) / (n + kappa) for m, (n, b) in members.items()}, kappa
+        out = {}
+        for m, (n, b) in members.items():
+            rate, weight = parent(m)
+            prior = 1 / (rho + 1 / (weight + 1)) - 1
+            out[m] = (prior, (b + prior * rate) / (n + prior), n + prior)
+        return out
 
-    tops, _ = shrunk(summed(lambda h: brute_domain(h)[0]), lambda m: overall)
-    domains, _ = shrunk(summed(brute_domain), lambda m: tops[m[0]])
-    _, kappa = shrunk(counts, lambda h: domains[brute_domain(h)])
+    tops = shrunk(summed(lambda h: brute_domain(h)[0]), lambda m: (overall, sum(n for n, _ in counts.values()) + 1))
+    domains = shrunk(summed(brute_domain), lambda m: tops[m[0]][1:])
+    hosts = shrunk(counts, lambda h: domains[brute_domain(h)][1:])
     grid = (np.arange(200_000) + 0.5) / 200_000
     out = {}
     for host, (n, b) in counts.items():
-        rate = domains[brute_domain(host)]
-        p, q = b + kappa * rate, n - b + kappa * (1 - rate)
+        rate, prior = domains[brute_domain(host)][1], hosts[host][0]
+        p, q = b + prior * rate, n - b + prior * (1 - rate)
         density = np.exp((p - 1) * np.log(grid) + (q - 1) * np.log1p(-grid) - np.max((p - 1) * np.log(grid) + (q - 1) * np.log1p(-grid)))
         total = np.cumsum(density)
         out[host] = grid[np.searchsorted(total, uf.TAIL * total[-1])]
