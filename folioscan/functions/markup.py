@@ -46,54 +46,70 @@ FOOTERS = {
     "de": ["Siehe auch", "Einzelnachweise", "Weblinks", "Literatur", "Anmerkungen"],
     "zh": ["参见", "參見", "参考文献", "參考文獻", "外部链接", "外部連結", "注释", "註釋"],
 }
-NESTED_TEMPLATES = 8
-
-
-def _steps(lang: str) -> list[tuple[str, str]]:
-    """(pattern, replacement) in order; the syntax is common to Java and RE2, ``{1}`` stands for group 1."""
-    key = lang if lang in MEDIA else "en"
-    media, footers = "|".join(MEDIA[key]), "|".join(FOOTERS[key])
-    return [
-        (r"(?s)<!--.*?-->", ""),
-        (r"(?is)<ref[^<>]*/>", ""),
-        (r"(?is)<ref[^<>]*>.*?</ref>", ""),
-        *[(r"\{\{[^{}]*\}\}", "")] * NESTED_TEMPLATES,
-        (r"(?s)\{\|.*?\|\}", ""),
+# Elements whose contents are no prose.
+DROPPED = ["gallery", "math", "timeline", "score", "syntaxhighlight", "source"]
+
+
+def _without_nested(c: Column, opens: str, closes: str) -> Column:
+    """Less all that stands between matching marks, at any depth; marks without a partner stay.
+
+    Texts are cut at the marks. One fold over the parts keeps what is still to be
+    put out and where in it the open marks are; a closing mark takes away everything
+    from its partner on. Only texts that hold both marks take that way.
+    """
+    cut = "\0"  # no character of XML
+    marked = F.replace(F.replace(c, F.lit(opens), F.lit(cut + opens + cut)), F.lit(closes), F.lit(cut + closes + cut))
+    empty = F.struct(F.array().cast("array<string>").alias("out"), F.array().cast("array<int>").alias("open"))
+
+    def step(acc: Column, part: Column) -> Column:
+        out, at = acc["out"], acc["open"]
+        grown = F.concat(out, F.array(part))
+        opened = F.struct(grown.alias("out"), F.concat(at, F.array(F.size(out))).alias("open"))
+        closed = F.struct(F.slice(out, F.lit(1), F.element_at(at, -1)).alias("out"), F.slice(at, F.lit(1), F.size(at) - 1).alias("open"))
+        return F.when(part == opens, opened).when((part == closes) & (F.size(at) > 0), closed).otherwise(F.struct(grown.alias("out"), at.alias("open")))
+
+    folded = F.aggregate(F.split(marked, cut), empty, step, lambda acc: F.array_join(acc["out"], ""))
+    return F.when(c.contains(opens) & c.contains(closes), folded).otherwise(c)
+
+
+def _comments(c: Column) -> Column:
+    for pattern in (r"(?s)<!--.*?-->", r"(?is)<ref[^<>]*/>", r"(?is)<ref[^<>]*>.*?</ref>", rf"(?is)<({'|'.join(DROPPED)})(?:\s[^<>]*)?>.*?</\1\s*>"):
+        c = F.regexp_replace(c, pattern, "")
+    return c
+
+
+def _links(c: Column, lang: str) -> Column:
+    """Media, categories, other languages and closing sections go; other links become their labels."""
+    media, footers = "|".join(MEDIA[lang]), "|".join(FOOTERS[lang])
+    for pattern, to in (
         (rf"\[\[(?:{media}):[^\[\]]*(?:\[\[[^\[\]]*\]\][^\[\]]*)*\]\]", ""),
+        (r"\[\[[a-z]{2,3}(?:-[a-z]+)*:[^\[\]]*\]\]", ""),
         (rf"(?s)(?:^|\n)==+[ \t]*(?:{footers})[ \t]*==+[ \t]*(?:\n.*)?$", ""),
-        (r"\[\[(?:[^\[\]|]*\|)?([^\[\]|]*)\]\]", "{1}"),
-        (r"\[(?:https?|ftp)://[^ \n\]]+[ ]+([^\]\n]*)\]", "{1}"),
+        (r"\[\[(?:[^\[\]|]*\|)?([^\[\]|]*)\]\]", "$1"),
+        (r"\[(?:https?|ftp)://[^ \n\]]+[ ]+([^\]\n]*)\]", "$1"),
         (r"\[(?:https?|ftp)://[^ \n\]]+\]", ""),
-        (r"'''''|'''|''", ""),
-        (r"(?m)^=+[ \t]*(.*?)[ \t]*=+[ \t]*$", "{1}"),
-        (r"</?[A-Za-z][^<>]*>", ""),
-        (r"&nbsp;", " "),
-        (r"&lt;", "<"),
-        (r"&gt;", ">"),
-        (r"&quot;", '"'),
-        (r"&amp;", "&"),
-        (r"\n{3,}", "\n\n"),
-        (r"^[ \t\r\n]+", ""),
-        (r"[ \t\r\n]+\z", ""),
-    ]
+    ):
+        c = F.regexp_replace(c, pattern, to)
+    return c
+
+
+def _marks(c: Column) -> Column:
+    """Emphasis, headings, tags and entities; then blank lines and the ends."""
+    for pattern, to in ((r"'''''|'''|''", ""), (r"(?m)^=+[ \t]*(.*?)[ \t]*=+[ \t]*$", "$1"), (r"</?[A-Za-z][^<>]*>", "")):
+        c = F.regexp_replace(c, pattern, to)
+    for name, char in (("nbsp", " "), ("lt", "<"), ("gt", ">"), ("quot", '"'), ("amp", "&")):
+        c = F.replace(c, F.lit(f"&{name};"), F.lit(char))
+    return F.regexp_replace(F.regexp_replace(c, r"\n{3,}", "\n\n"), r"\A[ \t\r\n]+|[ \t\r\n]+\z", "")
 
 
 def plain_text(text, lang: str = "en") -> Column:
-    """Wikitext to prose: no comments, references, templates, tables, media or closing sections.
+    """Wikitext to prose: no comments, references, templates, tables, galleries, formulas, media, links to other languages or closing sections.
 
-    Links become their labels, marks of headings and emphasis go, the result is
-    trimmed. Languages other than de and zh follow en. Null stays null.
+    Templates and tables go at any depth. Links become their labels, marks of
+    headings and emphasis go, the result is trimmed. Languages other than de and
+    zh follow en. Null stays null.
     """
     c = F.col(text) if isinstance(text, str) else text
-    for pattern, to in _steps(lang):
-        c = F.regexp_replace(c, F.lit(pattern), F.lit(to.replace("{1}", "$1")))
-    return c
-
-
-def plain_text_sql(expr: str, lang: str = "en") -> str:
-    """The same chain as a DuckDB expression."""
-    quote = lambda s: "'" + s.replace("'", "''") + "'"
-    for pattern, to in _steps(lang):
-        to = to.replace("{1}", r"\1")
-        expr = f"regexp_replace({expr}, {quote(pattern)}, {quote(to)}, 'g')"
-    return expr
+    c = F.regexp_replace(_comments(c), r"\{\{\{[^{}]*\}\}\}", "")  # a template's own parameters
+    c = _without_nested(_without_nested(c, "{{", "}}"), "{|", "|}")
+    return _marks(_links(c, lang if lang in MEDIA else "en"))

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import contextlib
+import io
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscan import functions as fn
 from folioscan.operators import count_redirects, lookup_id, lookup_title, open_index, skip_redirects, with_position, write_index
-from folioscan.plans.render import conversations_as_dump, documents_as_dump, escape_xml, write_dump
-from folioscan.sources import read_dump
+from folioscan.plans.render import conversations_as_dump, documents_as_dump, escape_xml, with_preamble, write_dump
+from folioscan.plans.repack import main, repack
+from folioscan.sources import newest_local, read_dump
 from folioscan.streaming import ingest, read_dump_stream
 from folioscan.workspace import scratch
 
@@ -26,6 +30,7 @@ def dump_of(spark: SparkSession, sf_dir: str, kind: str, compression: str = "non
         lines = {
             "conversations": lambda: conversations_as_dump(table(spark, sf_dir, "conversations")),
             "with_empty": lambda: conversations_as_dump(table(spark, sf_dir, "conversations"), empty_pages=True),
+            "with_preamble": lambda: with_preamble(conversations_as_dump(table(spark, sf_dir, "conversations"))),
             "documents": lambda: documents_as_dump(table(spark, sf_dir, "documents")),
         }[kind]()
         _rendered[key] = write_dump(lines, scratch(spark, f"dump-{kind}"), compression)
@@ -71,10 +76,48 @@ def redirect_counter(spark, sf_dir):
     return spark.createDataFrame([(found["redirectPages"], found["revisions"])], "redirect_pages long, revisions long")
 
 
+VERSIONS = 8
+
+
 def newest_dump(spark, sf_dir):
-    """The newest of several dump versions; here events stand for versions, their time for the file's."""
-    events = table(spark, sf_dir, "events")
-    return events.groupBy("event_type").agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("newest"), F.max("ts").alias("modified"))
+    """The newest of several dump versions of each language. An event type stands for a language, and the last digit of an event's number in base 8 for a version, whose file gets the time of its last event, in whole seconds."""
+    base, jvm = scratch(spark, "versions"), spark.sparkContext._jvm
+    version = (F.col("event_id") % VERSIONS).alias("version")
+    times = table(spark, sf_dir, "events").groupBy("event_type", version).agg((F.max(F.unix_seconds(F.date_trunc("second", "ts").cast("timestamp"))) * 1000).alias("ms"))
+    for kind, number, ms in times.collect():  # some forty files
+        path = jvm.org.apache.hadoop.fs.Path(f"{base}/{kind}/v{number}.xml")
+        fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        out = fs.create(path)
+        out.write(b"<mediawiki/>")
+        out.close()
+        fs.setTimes(path, ms, -1)
+    found = [(kind, newest_local(spark, f"{base}/{kind}")) for kind in sorted({r["event_type"] for r in times.collect()})]
+    rows = [(kind, int(path.rsplit("/v", 1)[1].removesuffix(".xml")), ms) for kind, (path, ms) in found]
+    return spark.createDataFrame(rows, "event_type string, newest long, modified_ms long")
+
+
+def repack_index(spark, sf_dir):
+    out = scratch(spark, "repacked")
+    repack(spark, dump_of(spark, sf_dir, "conversations"), out)
+    return flat(open_index(spark, out))
+
+
+def repack_counters(spark, sf_dir):
+    out = scratch(spark, "repacked")
+    found = repack(spark, dump_of(spark, sf_dir, "conversations"), out, skip=True)
+    left = open_index(spark, out).agg(F.count(F.lit(1)).alias("kept_revisions"))
+    return left.select(*[F.lit(found[k]).cast("long").alias(v) for k, v in (("redirectPages", "redirect_revisions"), ("distinctRedirectPages", "redirect_pages"), ("revisions", "revisions"))], "kept_revisions")
+
+
+def repack_command(spark, sf_dir):
+    """The command, over a folder of dumps of a language, without redirects."""
+    base, out = scratch(spark, "base"), scratch(spark, "repacked")
+    write_dump(with_preamble(conversations_as_dump(table(spark, sf_dir, "conversations"))), f"{base}/en")
+    with contextlib.redirect_stdout(io.StringIO()):
+        status = main(["-b", base, "-o", out, "-r", "--lang", "en"], spark)
+    if status:
+        raise RuntimeError(f"the command ended with {status}")
+    return flat(open_index(spark, out))
 
 
 def lookup_title_q(spark, sf_dir):
@@ -96,17 +139,25 @@ def stream_scan(spark, sf_dir):
     return spark.read.parquet(f"{out}/rows").transform(flat)
 
 
+#: Before and behind a text: what plain text leaves out, at depths that no fixed number of passes reaches.
+BEFORE = "{{hat|note}}<!-- c -->'''{title}''' [[Main page|label]] [http://x.org site] &amp;nbsp;"
+BEHIND = "{{a|" * 20 + "x" + "}}" * 20 + "\n{| a\n| {| b |} c\n|}[[fr:Titre]]<gallery>x.jpg|y</gallery><math>a_{{b}}</math>{{{1|}}}\n== See also ==\n* x"
+
+
 def plain(lang):
     def query(spark, sf_dir):
-        wrapped = F.concat(F.lit("{{hat|note}}<!-- c -->'''"), F.col("page.title"), F.lit("''' [[Main page|label]] [http://x.org site] &amp;nbsp;"), F.col("text"), F.lit("\n== See also ==\n* x"))
+        head, tail = BEFORE.split("{title}")
+        wrapped = F.concat(F.lit(head), F.col("page.title"), F.lit(tail), F.col("text"), F.lit(BEHIND))
         return docs(spark, sf_dir).select("id", fn.plain_text(wrapped, lang).alias("plain"))
 
     return query
 
 
-def plain_sql(lang):
-    wrapped = "'{{hat|note}}<!-- c -->''''''Doc ' || doc_id || ''''''' [[Main page|label]] [http://x.org site] &amp;nbsp;' || coalesce(text, '') || chr(10) || '== See also ==' || chr(10) || '* x'"
-    return f"SELECT doc_id AS id, {fn.plain_text_sql(f'({wrapped})', lang)} AS plain FROM documents"
+def plain_sql(footer):
+    """By hand: the texts hold no markup, so they stay as they are between what is left of both ends."""
+    end = "" if footer else " || chr(10) || chr(10) || 'See also' || chr(10) || '* x'"
+    whole = rf"regexp_replace('Doc ' || doc_id || ' label site &nbsp;' || coalesce(text, ''){end}, '\n{{3,}}', chr(10) || chr(10), 'g')"
+    return rf"SELECT doc_id AS id, regexp_replace({whole}, '[ \t\r\n]+$', '') AS plain FROM documents"
 
 
 def _title(c):
@@ -158,11 +209,17 @@ CATALOGUE: dict = {
     ),
     "lookup_title": (lookup_title_q, f"SELECT * FROM ({FLAT_SQL}) WHERE page_id = (SELECT min(conv_id) FROM conversations)"),
     "lookup_id": (lookup_id_q, f"SELECT * FROM ({FLAT_SQL}) ORDER BY id DESC LIMIT 1"),
-    "newest_dump": (newest_dump, "SELECT event_type, arg_max(event_id, (ts, event_id)) AS newest, max(ts) AS modified FROM events GROUP BY event_type"),
-    "repack_index": (lambda s, d: flat(open_index(s, index_of(s, d))), FLAT_SQL),
-    "plain_text_en": (plain("en"), plain_sql("en")),
-    "plain_text_de": (plain("de"), plain_sql("de")),
-    "plain_text_zh": (plain("zh"), plain_sql("zh")),
+    "newest_dump": (newest_dump, f"SELECT event_type, arg_max(version, (ms, version)) AS newest, max(ms) AS modified_ms FROM (SELECT event_type, event_id % {VERSIONS} AS version, max(epoch_ms(date_trunc('second', ts))) AS ms FROM events GROUP BY ALL) GROUP BY event_type"),
+    "scan_with_preamble": (lambda s, d: flat(read_dump(s, dump_of(s, d, "with_preamble"))), FLAT_SQL),
+    "repack_index": (repack_index, FLAT_SQL),
+    "repack_counters": (
+        repack_counters,
+        "SELECT count(*) FILTER (conv_id % 5 = 0) AS redirect_revisions, count(DISTINCT conv_id) FILTER (conv_id % 5 = 0) AS redirect_pages, count(*) AS revisions, count(*) FILTER (conv_id % 5 <> 0) AS kept_revisions FROM conversations",
+    ),
+    "repack_command": (repack_command, f"SELECT * FROM ({FLAT_SQL}) WHERE NOT is_redirect"),
+    "plain_text_en": (plain("en"), plain_sql(True)),
+    "plain_text_de": (plain("de"), plain_sql(False)),
+    "plain_text_zh": (plain("zh"), plain_sql(False)),
     "html_title": (lambda s, d: table(s, d, "pages").select("page_id", _title(F.col("html")).alias("title")), "SELECT page_id, nullif(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '') AS title FROM pages"),
     "debug_text": (
         lambda s, d: conv(s, d).select("id", fn.revision_text().alias("debug")),

@@ -54,6 +54,22 @@ def conversations_as_dump(conversations: DataFrame, empty_pages: bool = False) -
     return lines
 
 
+PREAMBLE = """<mediawiki xml:lang="en">
+  <siteinfo>
+    <sitename>Made of tables</sitename>
+    <id>5</id>
+    <namespaces><namespace key="0" /><namespace key="1">Talk</namespace></namespaces>
+  </siteinfo>
+"""
+
+
+def with_preamble(lines: DataFrame) -> DataFrame:
+    """A dump in one file, as it is published: a preamble before the first page, a closing tag behind the last."""
+    ends = [(0, PREAMBLE.rstrip("\n")), (2, "</mediawiki>")]
+    rows = lines.select(F.lit(1).alias("turn"), "value").unionByName(lines.sparkSession.createDataFrame(ends, "turn int, value string"))
+    return rows.coalesce(1).sortWithinPartitions("turn").select("value")
+
+
 def documents_as_dump(documents: DataFrame) -> DataFrame:
     doc = F.col("doc_id")
     by = F.lit("      <contributor>\n        <ip>192.0.2.1</ip>\n      </contributor>\n")

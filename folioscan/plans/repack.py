@@ -9,13 +9,14 @@ import argparse
 import sys
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 from folioscan.operators import redirect_counters, skip_redirects, write_index
-from folioscan.sources import HttpFetcher, read_dump, resolve_dump
+from folioscan.sources import Fetcher, HttpFetcher, read_dump, resolve_dump
 
 
 def repack(spark: SparkSession, dump: str, out: str, skip: bool = False, entities: str = "text", files: int | None = None) -> dict[str, int]:
-    """Write the index of ``dump`` to ``out``; returns the counters, taken before the filter.
+    """Write the index of ``dump`` to ``out``; returns the counters, taken before the filter: ``redirectPages`` and ``revisions``, and ``distinctRedirectPages``, the pages themselves.
 
     The counters have a pass of their own, which extracts the page's header
     alone: a sort reads its input twice, to place its bounds, and would make an
@@ -23,7 +24,8 @@ def repack(spark: SparkSession, dump: str, out: str, skip: bool = False, entitie
     """
     rows = read_dump(spark, dump, entities)
     write_index(skip_redirects(rows) if skip else rows, out, files=files)
-    return rows.agg(*redirect_counters()).first().asDict()
+    pages = F.count_distinct(F.when(F.col("page.is_redirect"), F.col("page.id"))).alias("distinctRedirectPages")
+    return rows.agg(*redirect_counters(), pages).first().asDict()
 
 
 def parser() -> argparse.ArgumentParser:
@@ -36,15 +38,15 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
-def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
-    """Exit status: 0 done or help, 1 wrong arguments or failure."""
+def main(argv: list[str] | None = None, spark: SparkSession | None = None, fetcher: Fetcher | None = None) -> int:
+    """Exit status: 0 done or help, 1 wrong arguments or failure. Where no dump is there yet, one is fetched, asked for or not."""
     try:
         args = parser().parse_args(argv)
     except SystemExit as e:
         return 1 if e.code else 0
     spark = spark or SparkSession.builder.appName("repack").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     try:
-        dump = resolve_dump(spark, args.basePath, args.lang, args.checkNew, HttpFetcher() if args.checkNew else None)
+        dump = resolve_dump(spark, args.basePath, args.lang, args.checkNew, fetcher or HttpFetcher())
         counters = repack(spark, dump, args.outputPath, args.skipRedirect)
     except Exception as e:
         print(f"repack failed: {e}", file=sys.stderr)

@@ -2,22 +2,23 @@
 
 from __future__ import annotations
 
-import os
-import shutil
-import tempfile
 import urllib.request
-from typing import Protocol
+from collections.abc import Callable
+from typing import BinaryIO, Protocol
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from folioscan.functions import dump_file_name, dump_url, http_date_ms
 
+#: Bytes that pass through the driver at once.
+CHUNK = 1 << 20
+
 
 class Fetcher(Protocol):
     def last_modified(self, lang: str) -> int: ...
 
-    def fetch(self, lang: str, target: str) -> None: ...
+    def open(self, lang: str) -> BinaryIO: ...
 
 
 class HttpFetcher:
@@ -25,14 +26,16 @@ class HttpFetcher:
 
     suffix = ".xml.bz2"
 
+    def __init__(self, url: Callable[[str], str] = dump_url, timeout: float = 60):
+        self.url, self.timeout = url, timeout
+
     def last_modified(self, lang: str) -> int:
-        ask = urllib.request.Request(dump_url(lang), method="HEAD")
-        with urllib.request.urlopen(ask) as answer:
+        ask = urllib.request.Request(self.url(lang), method="HEAD")
+        with urllib.request.urlopen(ask, timeout=self.timeout) as answer:
             return http_date_ms(answer.headers["Last-Modified"])
 
-    def fetch(self, lang: str, target: str) -> None:
-        with urllib.request.urlopen(dump_url(lang)) as answer, open(target, "wb") as out:
-            shutil.copyfileobj(answer, out, 1 << 20)
+    def open(self, lang: str) -> BinaryIO:
+        return urllib.request.urlopen(self.url(lang), timeout=self.timeout)
 
 
 def _filesystem(spark: SparkSession, path: str):
@@ -42,7 +45,7 @@ def _filesystem(spark: SparkSession, path: str):
 
 
 def newest_local(spark: SparkSession, folder: str) -> tuple[str, int] | None:
-    """(path, modification time in ms) of the newest file; makes the folder if it is absent. Ties: the larger path."""
+    """(path, modification time in ms) of the newest file that is not empty; makes the folder if it is absent. Ties: the larger path."""
     fs, where, _ = _filesystem(spark, folder)
     if not fs.exists(where):
         fs.mkdirs(where)
@@ -59,7 +62,7 @@ def resolve_dump(spark: SparkSession, base: str, lang: str = "en", check_new: bo
     publisher's is newer; then ``fetcher`` brings that. Without a fetcher only
     local dumps count, and FileNotFoundError is raised if there is none.
     """
-    folder = f"{base.rstrip('/')}/{lang}"
+    folder = f"{base.rstrip('/')}/{lang}"  # made if it is absent
     local = newest_local(spark, folder)
     if fetcher is None or (local and not check_new):
         if not local:
@@ -70,10 +73,25 @@ def resolve_dump(spark: SparkSession, base: str, lang: str = "en", check_new: bo
         return local[0]
     fs, _, jvm = _filesystem(spark, folder)
     target = f"{folder}/{dump_file_name(lang, remote, getattr(fetcher, 'suffix', '.xml'))}"
-    with tempfile.TemporaryDirectory() as own:  # on the driver, which alone reads it, to copy it to the shared folder
-        fetcher.fetch(lang, os.path.join(own, "dump"))
-        part = jvm.org.apache.hadoop.fs.Path(f"{folder}/_incoming-{remote}")
-        fs.copyFromLocalFile(False, True, jvm.org.apache.hadoop.fs.Path(f"file://{own}/dump"), part)
+    part = jvm.org.apache.hadoop.fs.Path(f"{folder}/_incoming-{remote}")
+    try:
+        with fetcher.open(lang) as source:
+            _copy(source, fs.create(part, True))
         if not fs.rename(part, jvm.org.apache.hadoop.fs.Path(target)):
             raise OSError(f"cannot move the fetched dump to {target}")
+    finally:
+        fs.delete(part, False)
     return target
+
+
+def _copy(source: BinaryIO, out) -> None:
+    """Into a Hadoop stream, chunk by chunk: nothing is kept on the driver's disk. A source that ends early raises."""
+    try:
+        said, n = getattr(source, "length", None), 0
+        while data := source.read(CHUNK):
+            out.write(data)
+            n += len(data)
+    finally:
+        out.close()
+    if said is not None and n != said:
+        raise OSError(f"{n} of {said} bytes arrived")

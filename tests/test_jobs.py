@@ -1,8 +1,12 @@
 """Index, lookups, counters, local dump versions, the repack command and streams."""
 
+import bz2
+import io
 import os
 import re
+import threading
 import time
+from http.server import BaseHTTPRequestHandler, HTTPServer
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,7 +15,7 @@ from folioscan.functions import dump_file_name, dump_url, http_date_ms, normaliz
 from folioscan.operators import ArticleNotFound, count_redirects, lookup_id, lookup_title, open_index, skip_redirects, sort_by_id, with_position, write_index
 from folioscan.plans import repack
 from folioscan.plans.queries import dump_of
-from folioscan.sources import newest_local, read_dump, resolve_dump
+from folioscan.sources import HttpFetcher, newest_local, read_dump, resolve_dump
 from folioscan.streaming import ingest, read_dump_stream
 
 SF = "/root/testdata/sf0.001"
@@ -24,10 +28,9 @@ class Fetcher:
     def last_modified(self, lang):
         return self.modified
 
-    def fetch(self, lang, target):
+    def open(self, lang):
         self.fetched += 1
-        with open(target, "wb") as f:
-            f.write(self.body)
+        return io.BytesIO(self.body)
 
 
 @pytest.fixture
@@ -68,6 +71,44 @@ def test_names_and_dates():
         http_date_ms("yesterday")
 
 
+@pytest.fixture
+def server(tmp_path):
+    """A publisher on this machine."""
+    body = bz2.compress(b"<page><title>N</title><id>1</id><revision><id>9</id></revision></page>\n" * 3)
+
+    class Answer(BaseHTTPRequestHandler):
+        def do_HEAD(self):
+            self.send_response(404 if "xx" in self.path else 200)
+            self.send_header("Last-Modified", "Fri, 6 Feb 2015 04:18:52 GMT")
+            self.send_header("Content-Length", str(len(body) + 5 * ("short" in self.path)))
+            self.end_headers()
+
+        def do_GET(self):
+            self.do_HEAD()
+            self.wfile.write(body)
+
+        def log_message(self, *args):
+            pass
+
+    with HTTPServer(("127.0.0.1", 0), Answer) as http:
+        threading.Thread(target=http.serve_forever, daemon=True).start()
+        yield f"http://127.0.0.1:{http.server_port}/"
+        http.shutdown()
+
+
+def test_http_fetcher(spark, base, server):
+    fetcher = HttpFetcher(lambda lang: f"{server}{lang}.xml.bz2", timeout=10)
+    assert fetcher.last_modified("de") == 1423196332000
+    path = resolve_dump(spark, base, "de", False, fetcher)
+    assert path.endswith(f"de/{dump_file_name('de', 1423196332000, '.xml.bz2')}") and read_dump(spark, path).count() == 3
+    assert resolve_dump(spark, base, "de", True, fetcher) == newest_local(spark, f"{base}/de")[0]  # what is there is as new
+    for lang in ("xx", "short"):
+        with pytest.raises(OSError):
+            resolve_dump(spark, base, lang, True, fetcher)
+        assert not [f for f in os.listdir(f"{base}/{lang}") if not f.startswith(".")]
+    assert repack.main(["-b", base, "-o", f"{base}/http", "--lang", "fr"], spark, fetcher) == 0 and open_index(spark, f"{base}/http").count() == 3
+
+
 def test_titles(spark):
     df = spark.createDataFrame([("a b\tc ",), (None,)], "t string")
     assert [tuple(r) for r in df.select(normalize_title("t"), page_url("t", "de"), reversed_url("t")).collect()] == [
@@ -112,7 +153,17 @@ def test_repack_command(spark, base, capsys):
     assert repack.main(["-b", base, "-o", f"{base}/out"], spark) == 0
     assert "redirectPages=0" in capsys.readouterr().out and open_index(spark, f"{base}/out").count() == 1
     assert repack.main(["-b", base, "-o", f"{base}/out"], spark) == 1  # it exists
-    assert repack.main(["-b", base, "-o", f"{base}/x", "--lang", "es"], spark) == 1
+
+    class Broken(Fetcher):
+        def open(self, lang):
+            raise OSError("gone")
+
+    assert repack.main(["-b", base, "-o", f"{base}/x", "--lang", "es"], spark, Broken(5)) == 1
+    assert [f for f in os.listdir(f"{base}/es") if not f.startswith(".")] == []
+    # Nothing is there, so a dump is fetched although nobody asked for a newer one.
+    capsys.readouterr()
+    assert repack.main(["-b", base, "-o", f"{base}/x", "--lang", "es"], spark, Fetcher(1_500_000_000_000)) == 0
+    assert "revisions=1" in capsys.readouterr().out and os.path.exists(f"{base}/es/{dump_file_name('es', 1_500_000_000_000)}")
     assert repack.main(["-h"], spark) == 0 and repack.main(["-b", base], spark) == 1
 
 
@@ -136,6 +187,11 @@ def test_stream_goes_on_where_it_stopped(spark, tmp_path):
     [
         ("en", "a <!-- x\ny --> b<ref>c</ref><ref name='d'/>", "a  b"),
         ("en", "{{a|{{b|{{c}}}}}}x{| t\n|}y", "xy"),
+        *[("en", "{{a|" * n + "in" + "}}" * n + " out {x} }} {{ end", "out {x} }} {{ end") for n in (1, 8, 9, 50, 400)],
+        ("en", "a{{b}}c}}d{{e{{f}}g", "ac}}d{{eg"),
+        ("en", "x {| a {| b |} c {| d {| e |} |} |} y {| z", "x  y {| z"),
+        ("en", "a{{b|{{{1|c}}}}}d {{{2}}}", "ad"),
+        ("en", "[[fr:Titre]][[zh-min-nan:X]]a<gallery a=b>\nx|y\n</gallery><math>x^2</math>b[[Help:c|d]]", "abd"),
         ("en", "[[File:a.jpg|thumb|a [[b]] c]]d [[e|f]] [[g]]", "d f g"),
         ("de", "[[Datei:a.jpg]]x\n== Weblinks ==\ny", "x"),
         ("zh", "[[文件:a.jpg]]x\n== 参考文献 ==\ny", "x"),
