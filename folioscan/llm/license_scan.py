@@ -1,23 +1,28 @@
 """Licence notices in paragraphs, found by a trained classifier and confirmed by templates.
 
-A paragraph is a line of a text. Its features are the runs of one to three
-words that templates hold; a multinomial logistic regression with an L1 penalty
-gives it to a licence family or to none. It is trained on the driver from the
-templates, whole and in random parts among other words, against a bounded
-sample of the corpus' own paragraphs that resemble no template; a held-out part
-sets the temperature of its probabilities, and so what counts as unknown. A
-prediction stands if its probability is at least ``LEAST_PROBABILITY`` and the
-paragraph and one of the family's templates share enough of their words' runs.
-
-Scoring is DataFrame operations alone. Most paragraphs cannot reach any family:
-``anchors`` are features without which the best possible score stays below
-the threshold, so only texts that contain an anchor are taken apart. That is a
+A paragraph is a run of lines without a blank one; notices that are broken over
+several lines, and whole licence texts, are one. It is looked at in overlapping
+windows of ``WINDOW`` words, so several notices in one paragraph are all found. A
+window's features are the runs of one to three words that templates hold; a
+multinomial logistic regression with an L1 penalty gives it to a licence family or
+to none. It is trained on the driver from the templates, whole and in random
+parts among other words, against a bounded sample of the corpus' own windows that
+resemble no template; a held-out part sets the temperature of its probabilities,
+and so what counts as unknown. A prediction stands if its probability is at least
+``LEAST_PROBABILITY`` and the window and one of the family's templates share
+enough of their words' runs. What that template explains is then taken away and
+the rest is looked at once more, for the second of two licences side by side.
+
+Scoring is DataFrame operations alone. Most windows cannot reach any family:
+``anchors`` are words without which the best possible score stays below the
+threshold, so only texts and windows that hold one are taken apart. That is a
 bound of the model, not a sample; the trained weights give it.
 
 Defined results: null and empty texts have no paragraphs and no licences; empty
-lines are no paragraphs; repeated rows are judged alike, rows with equal ids
-each for itself; an empty table gives an empty result; other columns are not
-looked at.
+lines are no paragraphs; of families that are equally likely the first by name
+holds; repeated rows are judged alike, rows with equal ids each for itself; very
+long texts and lines are looked at whole, window by window; an empty table gives
+an empty result; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -30,50 +35,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioscan.llm.common import text_of
+from folioscan.llm.licence_texts import TEMPLATES
 
-#: Notices by which the families are known, in lower case.
-TEMPLATES = {
-    "apache-2.0": [
-        "licensed under the apache license, version 2.0.",
-        "licensed under the apache license, version 2.0 (the license); you may not use this file except in compliance with the license.",
-        "this project is distributed under the apache license 2.0.",
-    ],
-    "bsd-3-clause": [
-        "redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
-        "released under the bsd 3-clause license.",
-        "use of this source code is governed by a bsd-style license.",
-    ],
-    "cc-by-4.0": ["this work is licensed under a creative commons attribution 4.0 international license.", "licensed under cc by 4.0."],
-    "cc-by-nc-4.0": ["this work is licensed under a creative commons attribution-noncommercial 4.0 international license.", "licensed under cc by-nc 4.0."],
-    "cc-by-sa-4.0": ["this work is licensed under a creative commons attribution-sharealike 4.0 international license.", "licensed under cc by-sa 4.0."],
-    "cc0-1.0": ["the author has dedicated this work to the public domain under cc0 1.0 universal.", "released into the public domain under cc0 1.0."],
-    "gpl-2.0": ["this program is free software; you can redistribute it under the terms of the gnu general public license, version 2.", "licensed under the gnu gpl v2."],
-    "gpl-3.0": [
-        "this work is licensed under the gnu general public license, version 3.",
-        "this program is free software: you can redistribute it and/or modify it under the terms of the gnu general public license, either version 3 of the license, or any later version.",
-        "licensed under the gnu gpl v3.",
-    ],
-    "lgpl-3.0": ["this library is licensed under the gnu lesser general public license, version 3.", "licensed under the gnu lgpl v3."],
-    "mit": [
-        "released under the mit license.",
-        "licensed under the mit license.",
-        "permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
-    ],
-    "mpl-2.0": ["this source code form is subject to the terms of the mozilla public license, version 2.0.", "licensed under the mozilla public license 2.0."],
-    "proprietary": ["all rights reserved.", "copyright the authors. all rights reserved. no part may be reproduced without permission."],
-}
 #: Words that tell nothing by themselves.
-COMMON = frozenset("a all and any are be by following for from has in into is it no of or part that the this to under use with without you your".split())
+COMMON = frozenset(
+    "0 1 2 3 4 5 6 7 8 9 a all an and any are as at be been but by can do each either even every following for from had has have he if in including into is it its "
+    "kind may must no not of on one only or other out part people so such than that the their them there these they this those to under up was we were what when which who will with without would you your".split()
+)
 UNKNOWN = "unknown"
 WORDS = r"[a-z0-9]+(?:[.+\-][a-z0-9]+)*"
+PARAGRAPHS = r"\n[ \t\r]*\n"
 GRAMS = 3
-SAMPLE_DOCS = 300
-SAMPLE_PARAGRAPHS = 800
+#: Words of a window, and from one window to the next.
+WINDOW, STRIDE = 40, 20
+#: The sample of the corpus to learn the unknown from: texts, and windows of up to so many bytes.
+SAMPLE_DOCS, SAMPLE_WINDOWS, SAMPLE_BYTES = 300, 800, 2000
 VARIANTS = 24
 LEAST_PROBABILITY = 0.6
 LEAST_SHARE = 0.6
 PENALTY = 2e-4
-STEPS = 400
+STEPS = 300
 SEED = 11
 
 
@@ -92,15 +73,20 @@ class Model:
     bias: list[float]
     anchors: list[str]
 
-    def probabilities(self, paragraph: str) -> dict[str, float]:
-        """The plain meaning of what ``scan`` computes."""
+    def probabilities_of(self, grams: set[str]) -> dict[str, float]:
+        """The plain meaning of what ``scan`` computes for a window."""
         z = np.array(self.bias)
-        for g in sorted(grams_of(words_of(paragraph))):
+        for g in sorted(grams):
             z = z + np.array(self.weights.get(g, [0.0] * len(z)))
         p = np.exp(z - z.max())
         return dict(zip(self.families, (p / p.sum()).tolist(), strict=True))
 
 
+def windows_of(words: list[str]) -> list[list[str]]:
+    """All windows of a paragraph; the last may be short."""
+    return [words[i : i + WINDOW] for i in range(0, max(1, len(words) - (WINDOW - STRIDE)), STRIDE)]
+
+
 class _Sparse:
     """A matrix of zeros and ones by the places of its ones."""
 
@@ -130,9 +116,9 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(1, keepdims=True)
 
 
-def template_share(grams: set[str], family: str) -> float:
-    """How much of a template, or of the paragraph if that is the shorter, the other has."""
-    return max(len(grams & t) / max(1, min(len(grams), len(t))) for t in (grams_of(words_of(x)) for x in TEMPLATES[family]))
+def best_template(grams: set[str], family: str) -> tuple[float, set[str]]:
+    """How much of a template, or of the window if that is the shorter, the other has; and that template."""
+    return max(((len(grams & t) / max(1, min(len(grams), len(t))), sorted(t)) for t in (grams_of(words_of(x)) for x in TEMPLATES[family])), default=(0.0, []))
 
 
 def train(paragraphs: list[str], families: dict[str, list[str]] = TEMPLATES) -> Model:
@@ -144,19 +130,18 @@ def train(paragraphs: list[str], families: dict[str, list[str]] = TEMPLATES) ->
     for k, name in enumerate(names[:-1]):
         for t in families[name]:
             words = words_of(t)
-            rows.append((grams_of(words), k))
-            for _ in range(VARIANTS + 3 * len(words)):
-                n = max(min(len(words), 4), int(len(words) * rng.uniform(0.45, 1)))
+            rows.append((grams_of(words[:WINDOW]), k))
+            for _ in range(VARIANTS + 2 * len(words)):
+                n = max(min(len(words), 4), int(min(len(words), WINDOW) * rng.uniform(0.45, 1)))
                 a = int(rng.integers(0, len(words) - n + 1))
-                around = [str(x) for x in rng.choice(other, int(rng.integers(0, 9)))]
+                around = [str(x) for x in rng.choice(other, int(rng.integers(0, 12 if rng.random() < 0.6 else WINDOW)))][: WINDOW - n]
                 cut = int(rng.integers(0, len(around) + 1))
                 rows.append((grams_of([*around[:cut], *words[a : a + n], *around[cut:]]), k))
     templates = [grams_of(words_of(t)) for ts in families.values() for t in ts]
     everything = [w for ts in families.values() for t in ts for w in words_of(t)]
     loose = np.array([*everything, *other[: len(everything)].tolist()])
     none = len(names) - 1
-    for p in paragraphs:
-        g = grams_of(words_of(p))
+    for g in (grams_of(w) for p in paragraphs for w in windows_of(words_of(p))):
         if not any(len(g & t) >= 0.5 * min(len(g), len(t)) for t in templates):
             rows.append((g, none))
     for _ in range(len(rows) // 4):  # words of templates out of order tell nothing
@@ -198,12 +183,14 @@ def train(paragraphs: list[str], families: dict[str, list[str]] = TEMPLATES) ->
 
 
 def sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> list[str]:
-    """Up to SAMPLE_PARAGRAPHS paragraphs of the SAMPLE_DOCS documents with the least hash of their id; for training alone."""
-    turn = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary"))
-    ids = docs.select(id_col).orderBy(turn, id_col).limit(SAMPLE_DOCS)
-    some = docs.select(id_col, text_of(text_col).alias("text")).join(F.broadcast(ids.distinct()), id_col)
-    lines = some.select(F.explode(F.split("text", "\n")).alias("line")).select(F.substring("line", 1, 1000).alias("line")).where("line <> ''").distinct()
-    return sorted(r["line"] for r in lines.orderBy(F.md5(F.col("line").cast("binary"))).limit(SAMPLE_PARAGRAPHS).collect())
+    """Up to SAMPLE_WINDOWS windows of the SAMPLE_DOCS documents with the least hash, from all over their texts; for training alone."""
+    turn = F.xxhash64(F.col(id_col).cast("string"), text_of(text_col))
+    share = min(1.0, 8 * SAMPLE_DOCS / max(1, docs.count()))  # so few come near the driver that their order is cheap
+    some = docs.where(F.pmod(turn, F.lit(1 << 30)) <= int(share * (1 << 30))).select(text_of(text_col).alias("text"), turn.alias("turn")).orderBy("turn").limit(SAMPLE_DOCS)
+    words = F.regexp_extract_all(F.lower("text"), F.lit(WORDS), F.lit(0))
+    rows = some.select(words.alias("words")).select("words", F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("words")), F.lit(WINDOW))).alias("at"))
+    lines = rows.select(F.array_join(F.slice("words", F.col("at"), F.lit(WINDOW)), " ").alias("line")).where((F.col("line") != "") & (F.octet_length("line") <= SAMPLE_BYTES)).distinct()
+    return sorted(r["line"] for r in lines.orderBy(F.md5(F.col("line").cast("binary"))).limit(SAMPLE_WINDOWS).collect())
 
 
 def _runs(words: Column, n: int) -> Column:
@@ -242,8 +229,8 @@ def _let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def notice(paragraph: Column, model: Model) -> Column:
-    """Struct (family, probability, share) of a paragraph's likeliest family; family is unknown if that is the likeliest."""
+def notices(words: Column, model: Model) -> Column:
+    """Array of structs (family, probability): the families that are found in a window of words, one or two."""
     table = F.expr(_literal(model.weights))
     families = F.array(*[F.lit(f) for f in model.families])
     templates = F.expr(_literal({f: [sorted(grams_of(words_of(t))) for t in ts] for f, ts in TEMPLATES.items()}))
@@ -256,30 +243,57 @@ def notice(paragraph: Column, model: Model) -> Column:
         top = F.array_max(z)
         family = F.element_at(families, F.array_position(z, top).cast("int"))
         chance = 1 / F.aggregate(z, F.lit(0.0), lambda t, x: t + F.exp(x - top))
-        share = F.array_max(F.transform(F.try_element_at(templates, family), lambda t: F.size(F.array_intersect(grams, t)) / F.greatest(F.lit(1), F.least(F.size(grams), F.size(t)))))
-        return F.struct(family.alias("family"), chance.alias("probability"), F.coalesce(share, F.lit(0.0)).alias("share"))
+        shares = F.transform(F.try_element_at(templates, family), lambda t: F.struct((F.size(F.array_intersect(grams, t)) / F.greatest(F.lit(1), F.least(F.size(grams), F.size(t)))).alias("share"), t.alias("template")))
+        return F.struct(family.alias("family"), chance.alias("probability"), F.array_max(shares).alias("best"))
+
+    def once(grams: Column, body) -> Column:
+        return _let(logits(grams), lambda z: _let(named(grams, z), body))
+
+    sure = lambda n: (n["family"] != UNKNOWN) & (n["probability"] >= LEAST_PROBABILITY) & (n["best"]["share"] >= LEAST_SHARE)
+    told = lambda n: F.struct(n["family"].alias("family"), n["probability"].alias("probability"))
+    none = F.array().cast("array<struct<family: string, probability: double>>")
 
-    words = F.regexp_extract_all(F.lower(paragraph), F.lit(WORDS), F.lit(0))
-    return _let(words, lambda w: _let(_grams(w), lambda g: _let(logits(g), lambda z: named(g, z))))
+    def second(first: Column, grams: Column) -> Column:
+        return once(F.array_except(grams, first["best"]["template"]), lambda n: F.when(sure(n), F.array(told(first), told(n))).otherwise(F.array(told(first))))
+
+    return _let(_grams(words), lambda g: once(g, lambda n: F.when(sure(n), second(n, g)).otherwise(none)))
 
 
 def scan(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row for each document: id, n_paragraphs, n_notices, licences (its families in order, once each), best (the greatest probability of a notice).
+    """A row for each document: id, n_paragraphs, n_notices (paragraphs with a licence), licences (its families in order, once each), best (the greatest probability of a notice).
 
     All of it happens within a row: nothing is moved or grouped.
     """
-    lines = F.filter(F.split("text", "\n"), lambda x: x != "")
-    near = F.when(_near(F.col("text"), model), F.filter(lines, lambda x: _near(x, model))).otherwise(F.array().cast("array<string>"))
-    sure = lambda x: (x["family"] != UNKNOWN) & (x["probability"] >= LEAST_PROBABILITY) & (x["share"] >= LEAST_SHARE)
-    rows = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
-    rows = rows.select("id", F.size(lines).cast("long").alias("n_paragraphs"), F.filter(F.transform(near, lambda x: notice(x, model)), sure).alias("found"))
-    families = F.array_sort(F.array_distinct(F.transform("found", lambda x: x["family"])))
-    return rows.select("id", "n_paragraphs", F.size("found").cast("long").alias("n_notices"), F.array_join(families, ",").alias("licences"), F.array_max(F.transform("found", lambda x: x["probability"])).alias("best"))
 
+    def windows(words: Column) -> Column:
+        """Those windows of a paragraph that hold an anchor."""
+        starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(words) - (WINDOW - STRIDE)), F.lit(STRIDE))
+        return F.filter(F.transform(starts, lambda i: F.slice(words, i, WINDOW)), lambda w: _near(F.array_join(w, " "), model))
 
-def confirmed(paragraph: str, model: Model) -> str | None:
-    """The family that ``scan`` gives a paragraph, in plain Python."""
-    p = model.probabilities(paragraph)
-    family = max(p, key=p.get)
-    ok = family != UNKNOWN and p[family] >= LEAST_PROBABILITY and template_share(grams_of(words_of(paragraph)), family) >= LEAST_SHARE
-    return family if ok else None
+    def found(paragraph: Column) -> Column:
+        words = F.regexp_extract_all(F.lower(paragraph), F.lit(WORDS), F.lit(0))
+        return _let(words, lambda w: F.flatten(F.transform(windows(w), lambda x: notices(x, model))))
+
+    paragraphs = F.filter(F.split("text", PARAGRAPHS), lambda x: F.trim(F.translate(x, "\n\r\t", "   ")) != "")
+    near = F.when(_near(F.col("text"), model), F.filter("paragraphs", lambda x: _near(x, model))).otherwise(F.array().cast("array<string>"))
+    rows = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text")).withColumn("paragraphs", paragraphs)
+    rows = rows.select("id", F.size("paragraphs").cast("long").alias("n_paragraphs"), F.filter(F.transform(near, found), lambda x: F.size(x) > 0).alias("found"))
+    rows = rows.withColumns({"n_notices": F.size("found").cast("long"), "found": F.flatten("found")})
+    families = F.array_sort(F.array_distinct(F.transform("found", lambda x: x["family"])))
+    return rows.select("id", "n_paragraphs", "n_notices", F.array_join(families, ",").alias("licences"), F.array_max(F.transform("found", lambda x: x["probability"])).alias("best"))
+
+
+def confirmed(paragraph: str, model: Model) -> list[str]:
+    """The families that ``scan`` finds in a paragraph, in plain Python."""
+    out = set()
+    for words in windows_of(words_of(paragraph)):
+        grams = grams_of(words)
+        for _ in range(2):
+            p = model.probabilities_of(grams)
+            family = max(p, key=p.get)
+            share, template = best_template(grams, family) if family != UNKNOWN else (0.0, [])
+            if family == UNKNOWN or p[family] < LEAST_PROBABILITY or share < LEAST_SHARE:
+                break
+            out.add(family)
+            grams = grams - set(template)
+    return sorted(out)
