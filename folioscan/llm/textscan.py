@@ -3,7 +3,9 @@
 Nothing here looks at one character at a time: bytes are classified by table,
 words found at the borders of white space, and each word hashed by a difference
 of prefix sums. Texts are taken in slices of bounded size; a text beyond that
-is cut at white space, so memory is bounded by ``BLOCK`` and the number of words.
+is read in blocks that end at white space. What is kept of a text is some 24 bytes
+for each of its words, so memory is bounded by ``BLOCK`` and, beyond that, by a few
+times the size of the longest text.
 """
 
 from __future__ import annotations
