@@ -7,8 +7,8 @@ covariance has the least determinant. Several deterministic starts (spreads of t
 coordinates, the covariance of their hyperbolic tangents, that of the directions
 from the medians) are led down by concentration steps, each of which takes the
 documents with the least Mahalanobis distance and computes their mean and
-covariance anew, until no determinant falls any more; then each group keeps the
-start with the least one. A step is one plan over a narrow stored table; groups
+covariance anew. After ``FIRST_STEPS`` each group goes on from the start with the
+least determinant, until none falls any more. A step is one plan over a narrow stored table; groups
 of any size are summed by parts, and nothing of a document but its vector is read
 again. A document beyond the cutoff of the chi-squared distribution is rejected.
 
@@ -53,8 +53,8 @@ REPEAT_WINDOW = 8
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 SUPPORT = 0.75
-#: Steps at most, and the fall of the logarithm of a determinant that counts as none.
-STEPS, SETTLED = 40, 1e-7
+#: Steps from every start, steps at most from the best of them, and the fall of the logarithm of a determinant that counts as none.
+FIRST_STEPS, STEPS, SETTLED = 3, 40, 1e-4
 PRIOR_ROWS = 40
 SMOOTH_WORDS = 100
 NEAR_WORDS = 100
@@ -310,13 +310,15 @@ class Estimates:
         self.table = persist_table(moments.mapInPandas(run, "group string, start int, centre array<double>, inverse array<double>, logdet double, before double"), "mcd-step")
 
     def settle(self) -> DataFrame:
-        """Steps until no determinant falls any more; (group, centre, inverse, logdet) of the start with the least."""
-        for _ in range(STEPS):
+        """A few steps from every start, then steps from the best one until no determinant falls any more: (group, centre, inverse, logdet)."""
+        best = F.min(F.struct("logdet", "start", "centre", "inverse", "before")).alias("b")
+        for k in range(STEPS):
             self.step()
-            if not self.table.where(F.col("before").isNull() | (F.col("logdet") < F.col("before") - SETTLED)).take(1):
+            if k + 1 == FIRST_STEPS:
+                self.table = persist_table(self.table.groupBy("group").agg(best).select("group", "b.*"), "mcd-best")
+            elif k >= FIRST_STEPS and not self.table.where(F.col("logdet") < F.col("before") - SETTLED).take(1):
                 break
-        best = F.min(F.struct("logdet", "start", "centre", "inverse"))
-        return persist_table(self.table.groupBy("group").agg(best.alias("b")).select("group", "b.centre", "b.inverse", "b.logdet"), "mcd-best")
+        return self.table.select("group", "centre", "inverse", "logdet")
 
 
 def regularised(inner: np.ndarray, n: int, common: np.ndarray, factor: float) -> np.ndarray:
