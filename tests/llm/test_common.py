@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from folioscan.llm.common import FILE, ROW, dealt_join, located, maybe_in, small_or_plain
+from folioscan.llm.common import FILE, ROW, dealt_join, located, maybe_in, small_or_plain, without
 from folioscan.llm.components import components
 
 
@@ -63,3 +63,13 @@ def test_large_tables_are_not_broadcast(spark, tmp_path):
     spark.range(100).write.parquet(f"{tmp_path}/t")
     table = spark.read.parquet(f"{tmp_path}/t")
     assert small_or_plain(table, 99) is table and small_or_plain(table, 100) is not table
+
+
+def test_without_is_an_anti_join(spark, tmp_path):
+    spark.range(3000).select(F.col("id").alias("k"), F.lit("x" * 50).alias("text")).write.parquet(f"{tmp_path}/t")
+    rows = spark.read.parquet(f"{tmp_path}/t")
+    gone = spark.range(0, 6000, 3).select(F.col("id").alias("k"))
+    for places in (64, 1 << 12, 1 << 26):
+        left = [r["k"] for r in without(rows, gone, ["k"], places).collect()]
+        assert sorted(left) == [k for k in range(3000) if k % 3]
+    assert without(rows, gone.limit(0), ["k"]).count() == 3000 and without(rows, rows.select("k"), ["k"]).isEmpty()
