@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import io
+from email.utils import formatdate
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ from folioscan import functions as fn
 from folioscan.operators import count_redirects, lookup_id, lookup_title, open_index, skip_redirects, with_position, write_index
 from folioscan.plans.render import conversations_as_dump, documents_as_dump, escape_xml, with_preamble, write_dump
 from folioscan.plans.repack import main, repack
-from folioscan.sources import newest_local, read_dump
+from folioscan.sources import newest_local, read_dump, resolve_dump
 from folioscan.streaming import ingest, read_dump_stream
 from folioscan.workspace import scratch
 
@@ -77,23 +78,74 @@ def redirect_counter(spark, sf_dir):
 
 
 VERSIONS = 8
+VERSIONS_SQL = f"SELECT event_type, event_id % {VERSIONS} AS version, max(epoch_ms(date_trunc('second', ts))) AS ms FROM events GROUP BY ALL"
 
 
-def newest_dump(spark, sf_dir):
-    """The newest of several dump versions of each language. An event type stands for a language, and the last digit of an event's number in base 8 for a version, whose file gets the time of its last event, in whole seconds."""
+def versions(spark, sf_dir):
+    """(base folder, rows of event_type, version, ms): files of several dump versions of each language. An event type stands for a language, and the last digit of an event's number in base 8 for a version, whose file gets the time of its last event, in whole seconds."""
     base, jvm = scratch(spark, "versions"), spark.sparkContext._jvm
     version = (F.col("event_id") % VERSIONS).alias("version")
-    times = table(spark, sf_dir, "events").groupBy("event_type", version).agg((F.max(F.unix_seconds(F.date_trunc("second", "ts").cast("timestamp"))) * 1000).alias("ms"))
-    for kind, number, ms in times.collect():  # some forty files
+    last = F.max(F.unix_seconds(F.date_trunc("second", "ts").cast("timestamp"))) * 1000
+    rows = table(spark, sf_dir, "events").groupBy("event_type", version).agg(last.alias("ms")).collect()  # some forty
+    for kind, number, ms in rows:
         path = jvm.org.apache.hadoop.fs.Path(f"{base}/{kind}/v{number}.xml")
         fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
         out = fs.create(path)
         out.write(b"<mediawiki/>")
         out.close()
         fs.setTimes(path, ms, -1)
-    found = [(kind, newest_local(spark, f"{base}/{kind}")) for kind in sorted({r["event_type"] for r in times.collect()})]
-    rows = [(kind, int(path.rsplit("/v", 1)[1].removesuffix(".xml")), ms) for kind, (path, ms) in found]
-    return spark.createDataFrame(rows, "event_type string, newest long, modified_ms long")
+    return base, rows
+
+
+def newest_dump(spark, sf_dir):
+    """The newest of several dump versions of each language."""
+    base, rows = versions(spark, sf_dir)
+    found = [(kind, newest_local(spark, f"{base}/{kind}")) for kind in sorted({r["event_type"] for r in rows})]
+    return spark.createDataFrame([(kind, path.rsplit("/", 1)[1], ms) for kind, (path, ms) in found], "event_type string, newest string, modified_ms long")
+
+
+class _Publisher:
+    """A publisher whose dumps are all of one time."""
+
+    def __init__(self, ms: int):
+        self.ms = ms
+
+    def last_modified(self, lang: str) -> int:
+        return self.ms
+
+    def open(self, lang: str) -> io.BytesIO:
+        return io.BytesIO(f"<page><title>{lang}</title><id>1</id><revision><id>2</id></revision></page>".encode())
+
+
+def chosen_dump(spark, sf_dir):
+    """Which dump is read if the publisher's are as new as the newest of all languages: a local one of that time, else the one fetched, of which a page is read."""
+    base, rows = versions(spark, sf_dir)
+    publisher = _Publisher(max(r["ms"] for r in rows))
+    out = []
+    for kind in sorted({r["event_type"] for r in rows}):
+        path = resolve_dump(spark, base, kind, True, publisher)
+        again = resolve_dump(spark, base, kind, False, publisher)
+        out.append((kind, path.rsplit("/", 1)[1], read_dump(spark, path).count(), again.rsplit("/", 1)[1]))
+    return spark.createDataFrame(out, "event_type string, dump string, revisions long, again string")
+
+
+CHOSEN_SQL = f"""SELECT event_type, dump, (dump LIKE '%wiki-latest%')::BIGINT AS revisions, dump AS again FROM (
+ SELECT event_type, CASE WHEN max(ms) >= (SELECT max(ms) FROM ({VERSIONS_SQL})) THEN 'v' || arg_max(version, (ms, version)) || '.xml'
+  ELSE event_type || 'wiki-latest-pages-articles.' || (SELECT max(ms) FROM ({VERSIONS_SQL})) || '.xml' END AS dump FROM ({VERSIONS_SQL}) GROUP BY event_type)"""
+
+
+def dump_names(spark, sf_dir):
+    """Names and addresses of dumps, and the times that a publisher would say, read from the dates of HTTP."""
+    _, rows = versions(spark, sf_dir)
+    out = []
+    for kind, number, ms in rows:
+        said = fn.http_date_ms(formatdate(ms // 1000, usegmt=True))
+        out.append((kind, number, fn.dump_url(kind), fn.dump_file_name(kind, said), said))
+    return spark.createDataFrame(out, "event_type string, version long, url string, file string, ms long")
+
+
+DUMP_NAMES_SQL = f"""SELECT event_type, version, 'http://dumps.wikimedia.org/' || event_type || 'wiki/latest/' || event_type || 'wiki-latest-pages-articles.xml.bz2' AS url,
+ event_type || 'wiki-latest-pages-articles.' || ms || '.xml' AS file, ms FROM ({VERSIONS_SQL})"""
 
 
 def repack_index(spark, sf_dir):
@@ -160,10 +212,6 @@ def plain_sql(footer):
     return rf"SELECT doc_id AS id, regexp_replace({whole}, '[ \t\r\n]+$', '') AS plain FROM documents"
 
 
-def _title(c):
-    return F.nullif(F.regexp_extract(c, r"(?is)<title[^>]*>(.*?)</title>", 1), F.lit(""))
-
-
 #: name -> (plan, SQL)
 CATALOGUE: dict = {
     "scan_revisions": (lambda s, d: flat(conv(s, d)), FLAT_SQL),
@@ -209,7 +257,9 @@ CATALOGUE: dict = {
     ),
     "lookup_title": (lookup_title_q, f"SELECT * FROM ({FLAT_SQL}) WHERE page_id = (SELECT min(conv_id) FROM conversations)"),
     "lookup_id": (lookup_id_q, f"SELECT * FROM ({FLAT_SQL}) ORDER BY id DESC LIMIT 1"),
-    "newest_dump": (newest_dump, f"SELECT event_type, arg_max(version, (ms, version)) AS newest, max(ms) AS modified_ms FROM (SELECT event_type, event_id % {VERSIONS} AS version, max(epoch_ms(date_trunc('second', ts))) AS ms FROM events GROUP BY ALL) GROUP BY event_type"),
+    "newest_dump": (newest_dump, f"SELECT event_type, 'v' || arg_max(version, (ms, version)) || '.xml' AS newest, max(ms) AS modified_ms FROM ({VERSIONS_SQL}) GROUP BY event_type"),
+    "chosen_dump": (chosen_dump, CHOSEN_SQL),
+    "dump_names": (dump_names, DUMP_NAMES_SQL),
     "scan_with_preamble": (lambda s, d: flat(read_dump(s, dump_of(s, d, "with_preamble"))), FLAT_SQL),
     "repack_index": (repack_index, FLAT_SQL),
     "repack_counters": (
@@ -220,7 +270,6 @@ CATALOGUE: dict = {
     "plain_text_en": (plain("en"), plain_sql(True)),
     "plain_text_de": (plain("de"), plain_sql(False)),
     "plain_text_zh": (plain("zh"), plain_sql(False)),
-    "html_title": (lambda s, d: table(s, d, "pages").select("page_id", _title(F.col("html")).alias("title")), "SELECT page_id, nullif(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '') AS title FROM pages"),
     "debug_text": (
         lambda s, d: conv(s, d).select("id", fn.revision_text().alias("debug")),
         f"""SELECT id, 'id:' || id || chr(10) || ' timestamp:' || timestamp_ms || chr(10) || ' page: title:' || title || chr(10) || 'id:' || page_id || chr(10) || 'isRedirect:' || is_redirect || ' ' || chr(10)
