@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from folioscan.llm.common import FILE, ROW, dealt_join, located, maybe_in, without
 from folioscan.llm.components import components
 from folioscan.llm.dartminhash import band_keys, signatures
-from folioscan.llm.textscan import Texts, mix64, releasing, slices, texts_of, windows_of, words_of
+from folioscan.llm.textscan import Texts, in_arrow, mix64, slices, texts_of, windows_of, words_of
 from folioscan.workspace import persist_table
 
 SHINGLE = 5
@@ -124,7 +124,7 @@ def sketch(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(a, n) for c in names), pa.array(weights[edge[1:]] - weights[edge[:-1]]), *digests, bands], [*names, "size", "d1", "d2", "bands"])
 
     schema = ", ".join(f"{n} {docs.schema[n].dataType.simpleString()}" for n in names)
-    return docs.mapInArrow(releasing(run), f"{schema}, size long, d1 long, d2 long, bands array<long>")
+    return in_arrow(docs, run, f"{schema}, size long, d1 long, d2 long, bands array<long>")
 
 
 def _sets(docs: DataFrame) -> DataFrame:
@@ -139,7 +139,7 @@ def _sets(docs: DataFrame) -> DataFrame:
                 sets = pa.ListArray.from_arrays(pa.array(edge), pa.array(elements.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([batch.column("node").slice(a, b - a), sets], ["node", "shingles"])
 
-    return docs.mapInArrow(releasing(run), "node long, shingles array<long>")
+    return in_arrow(docs, run, "node long, shingles array<long>")
 
 
 def _common(x: np.ndarray, y: np.ndarray) -> int:
@@ -173,7 +173,7 @@ def _check(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
             keep = pa.array(keep)
             yield pa.RecordBatch.from_arrays([batch.column("node").filter(keep), batch.column("b").filter(keep)], ["a", "b"])
 
-    return rows.mapInArrow(releasing(run), "a long, b long")
+    return in_arrow(rows, run, "a long, b long")
 
 
 def _lists(column) -> tuple[np.ndarray, np.ndarray]:

@@ -44,7 +44,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscan.llm.textscan import IS_SPACE, hash_spans, mix64, releasing, slices, texts_of
+from folioscan.llm.textscan import IS_SPACE, hash_spans, in_arrow, mix64, release, slices, texts_of
 
 TIERS = (512, 1024, 2048, 4096)
 #: Tokens of documents that wait for a window, at most, and so many are left when windows have been made.
@@ -57,9 +57,9 @@ END_ID = 2
 STEP_WINDOWS = 16
 POOL_GROUPS = 8
 #: Some 50 bytes each.
-MEMO_WORDS = 800_000
-#: Bytes of text that are coded at once.
-BLOCK = 1 << 20
+MEMO_WORDS = 500_000
+#: Bytes of text that are coded at once; some fifty times as much is needed meanwhile.
+BLOCK = 1 << 18
 
 
 #: The pre-tokenizer whose words are known here, after lower-casing; see ``WordEncoder``.
@@ -74,6 +74,15 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 32
 
 
+def splits_words(serialised: str) -> bool:
+    """Whether a tokenizer lower-cases, drops white space and splits by ``SPLIT``; every special string has to begin with "<|", which is odd."""
+    spec = json.loads(serialised)
+    steps = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [{}])
+    lowers = {"type": "Lowercase"} in (spec.get("normalizer") or {}).get("normalizers", [])
+    special = all(t["content"].startswith("<|") and not (t["lstrip"] or t["rstrip"]) for t in spec.get("added_tokens", []))
+    return lowers and special and steps[0].get("pattern") == {"Regex": SPLIT} and steps[0].get("behavior") == "Removed"
+
+
 class WordEncoder:
     """Ids of texts by a tokenizer, remembered by word within bounds.
 
@@ -85,7 +94,7 @@ class WordEncoder:
     Any other tokenizer codes whole texts.
     """
 
-    def __init__(self, serialised: str, end_id: int):
+    def __init__(self, serialised: str, end_id: int, by_word: bool | None = None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -93,12 +102,7 @@ class WordEncoder:
         self.library.no_truncation()
         self.library.no_padding()
         self.end_id = end_id
-        spec = json.loads(serialised)
-        steps = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [{}])
-        lowers = {"type": "Lowercase"} in (spec.get("normalizer") or {}).get("normalizers", [])
-        # Every special string of a known tokenizer begins with "<|", which is odd.
-        special = all(t["content"].startswith("<|") and not (t["lstrip"] or t["rstrip"]) for t in spec.get("added_tokens", []))
-        self.by_word = lowers and special and steps[0].get("pattern") == {"Regex": SPLIT} and steps[0].get("behavior") == "Removed"
+        self.by_word = splits_words(serialised) if by_word is None else by_word
         self._clear()
 
     def _clear(self) -> None:
@@ -179,12 +183,13 @@ class WordEncoder:
 _encoders: dict[tuple[str, int], WordEncoder] = {}
 
 
-def encoder_of(serialised: str, end_id: int) -> WordEncoder:
+def encoder_of(serialised: str, end_id: int, by_word: bool) -> WordEncoder:
     """The worker's encoder: what one task has learned serves the next."""
     key = (serialised, end_id)
     if key not in _encoders:
         _encoders.clear()
-        _encoders[key] = WordEncoder(serialised, end_id)
+        _encoders[key] = WordEncoder(serialised, end_id, by_word)
+        release()
     return _encoders[key]
 
 
@@ -357,7 +362,8 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
     tokenizer is read on the driver and sent along.
     """
     with open(tokenizer_path, encoding="utf-8") as f:
-        sent = docs.sparkSession.sparkContext.broadcast(f.read())  # some megabytes
+        serialised = f.read()
+    sent = docs.sparkSession.sparkContext.broadcast((serialised, end_id, splits_words(serialised)))  # some megabytes
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
     out_type = pa.int64() if kind in ("bigint", "int", "smallint", "tinyint") else pa.string()
@@ -365,7 +371,7 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
         rows = rows.withColumn("id", F.col("id").cast("string"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = encoder_of(sent.value, end_id)
+        encoder = encoder_of(*sent.value)
         packer = Packer(tiers, TaskContext.get().partitionId())
 
         def flush() -> pa.RecordBatch:
@@ -387,7 +393,8 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
                         packer.add(name, ids[x:y])
                 if packer.rows:
                     yield flush()
+            release()
         packer.finish()
         yield flush()
 
-    return rows.mapInArrow(releasing(run), f"doc_id {'bigint' if out_type == pa.int64() else 'string'}, " + ", ".join(f"{n} bigint" for n in NAMES[1:]))
+    return in_arrow(rows, run, f"doc_id {'bigint' if out_type == pa.int64() else 'string'}, " + ", ".join(f"{n} bigint" for n in NAMES[1:]))

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscan.llm.textscan import releasing, slices, texts_of
+from folioscan.llm.textscan import in_arrow, slices, texts_of
 from folioscan.workspace import persist_table
 
 #: The sample to learn from: so many texts at most, of so many bytes together.
@@ -218,7 +218,7 @@ def score(docs: DataFrame, model: Network | float, id_col: str = "doc_id", text_
                 scores = [sent.value if scorer is None else scorer.score(texts.data[x:y]) for x, y in zip(at[:-1], at[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([*(batch.column(n).slice(a, b - a) for n in names), pa.array(scores, pa.float64())], [*names, "score"])
 
-    return rows.mapInArrow(releasing(run), schema)
+    return in_arrow(rows, run, schema)
 
 
 def keep_good(docs: DataFrame, model: Network | float, text_col: str = "text", least: float = 0.5) -> DataFrame:
@@ -235,4 +235,4 @@ def keep_good(docs: DataFrame, model: Network | float, text_col: str = "text", l
             scores = [scorer.score(texts.data[x:y]) for x, y in zip(texts.offsets[:-1], texts.offsets[1:], strict=True)]
             yield batch.filter(pa.array([s >= least for s in scores], pa.bool_()))
 
-    return docs.mapInArrow(releasing(run), docs.schema)
+    return in_arrow(docs, run, docs.schema)

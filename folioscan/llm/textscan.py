@@ -16,8 +16,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
 
-BLOCK = 1 << 20
+BLOCK = 1 << 19
+#: Bytes of an Arrow batch on its way to a worker.
+ARROW_BYTES = 8 << 20
 
 try:
     _libc = ctypes.CDLL("libc.so.6")
@@ -55,6 +58,19 @@ def releasing(run):
     return wrapped
 
 
+def in_arrow(rows: DataFrame, run, schema: str) -> DataFrame:
+    """``rows.mapInArrow(run, schema)`` in batches of bounded size, whose workers give memory back.
+
+    Spark says how large batches are by settings of the session, looked at when a
+    plan runs; so a larger value there is lowered for good. A row beyond it is a batch of its own.
+    """
+    conf, key = rows.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    said = str(conf.get(key)).removesuffix("b")
+    if not said.isdigit() or not 0 < int(said) <= ARROW_BYTES:
+        conf.set(key, f"{ARROW_BYTES}b")
+    return rows.mapInArrow(releasing(run), schema)
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers in which every bit depends on all."""
     x = x ^ (x >> np.uint64(30))

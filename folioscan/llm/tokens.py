@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from sentencepiece import sentencepiece_model_pb2
 
-from folioscan.llm.textscan import releasing, slices, texts_of
+from folioscan.llm.textscan import in_arrow, slices, texts_of
 from folioscan.llm.transducer import SPACE, Machine
 
 LIMIT = 4096
@@ -118,4 +118,4 @@ def count_tokens(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_
                     [batch.column("id").slice(a, b - a), pa.array(np.diff(at)), pa.array(n_tokens), pa.array(n_tokens > limit)], ["id", "n_bytes", "n_tokens", "over_limit"]
                 )
 
-    return rows.mapInArrow(releasing(run), f"id {rows.schema['id'].dataType.simpleString()}, n_bytes long, n_tokens long, over_limit boolean")
+    return in_arrow(rows, run, f"id {rows.schema['id'].dataType.simpleString()}, n_bytes long, n_tokens long, over_limit boolean")

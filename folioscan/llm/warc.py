@@ -45,6 +45,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from folioscan.llm.common import dealt_join, small_or_plain
+from folioscan.llm.textscan import in_arrow
 from folioscan.workspace import persist_table, scratch
 
 LEVEL = 3
@@ -149,7 +150,7 @@ def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col:
         columns = list(zip(*done, strict=True)) or [[]] * 4
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int64(), pa.int64()), strict=True)], ["file", "record_type", "records", "bytes"])
 
-    return persist_table(rows.mapInArrow(run, "file string, record_type string, records long, bytes long"), "warc-manifest")
+    return persist_table(in_arrow(rows, run, "file string, record_type string, records long, bytes long"), "warc-manifest")
 
 
 @dataclass
