@@ -45,7 +45,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioscan.llm.common import BROADCAST_ROWS, dealt_join
-from folioscan.llm.textscan import IS_FIRST, IS_SPACE, Texts, Words, per_text, releasing, slices, texts_of, windows_of, words_of
+from folioscan.llm.textscan import IS_FIRST, IS_SPACE, Texts, Words, in_arrow, per_text, slices, texts_of, windows_of, words_of
 from folioscan.workspace import persist_table
 
 SYMBOLS = "#*$%&|<>"
@@ -166,7 +166,7 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
                 head = [batch.column(k).slice(a, b - a) for k in ("id", "lang", "source")]
                 yield pa.RecordBatch.from_arrays([*head, *(pa.array(c[k].astype(np.int64)) for k in COUNTS + BASES)], ["id", "lang", "source", *COUNTS, *BASES])
 
-    return rows.mapInArrow(releasing(run), schema)
+    return in_arrow(rows, run, schema)
 
 
 def _gamma_p(a: float, x: float) -> float:
@@ -249,16 +249,16 @@ def _common_covariance(centred: DataFrame) -> np.ndarray:
 
 
 class Estimates:
-    """Concentration steps of all groups and starts; rows: stored, with ``group`` and ``x``."""
+    """Concentration steps of all groups and starts; rows: with ``group`` and ``x``, which alone are stored and read in each step."""
 
     def __init__(self, rows: DataFrame):
-        self.rows = rows
+        self.rows = rows = persist_table(rows.select("group", "x"), "mcd-vectors")
         middle = rows.groupBy("group").agg(F.count(F.lit(1)).alias("n"), *[F.percentile_approx(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 10_000).alias(f"p{i}") for i, x in enumerate(_x())])
         assumed = list(FEATURES.values())
         spread = [F.greatest((F.col(f"p{i}")[2] - F.col(f"p{i}")[0]) / 1.349, assumed[i] / F.sqrt("n")) for i in range(P)]
         middle = persist_table(middle.select("group", F.array(*[F.col(f"p{i}")[1] for i in range(P)]).alias("median"), F.array(*spread).alias("spread")), "mcd-medians")
         self.few = middle.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-        near = self.meet(rows.select("group", "x"), middle, "group")
+        near = self.meet(rows, middle, "group")
         self.common = _common_covariance(near.select(F.transform(F.arrays_zip("x", "median"), lambda v: v["x"] - v["median"]).alias("x")))
         self.table = persist_table(self._starts(near), "mcd-start")
 
@@ -293,7 +293,7 @@ class Estimates:
 
     def step(self) -> None:
         """One concentration step."""
-        placed = self.meet(self.rows.select("group", "x"), self.table, "group").select("group", "start", "x", "logdet", _d2(F.col("centre"), F.col("inverse")).alias("d2"))
+        placed = self.meet(self.rows, self.table, "group").select("group", "start", "x", "logdet", _d2(F.col("centre"), F.col("inverse")).alias("d2"))
         reach = placed.groupBy("group", "start").agg(F.percentile_approx("d2", SUPPORT, 10_000).alias("reach"))
         moments = self.meet(placed, reach, "group", "start").where("d2 <= reach").groupBy("group", "start").agg(F.max("logdet").alias("before"), *_sums(_x()))
         common, factor = self.common, _consistency()
