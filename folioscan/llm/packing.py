@@ -37,6 +37,7 @@ import re
 import zlib
 from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator, Sequence
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -57,7 +58,7 @@ END_ID = 2
 STEP_WINDOWS = 16
 POOL_GROUPS = 8
 #: Some 50 bytes each.
-MEMO_WORDS = 500_000
+MEMO_WORDS = 800_000
 #: Bytes of text that are coded at once; some fifty times as much is needed meanwhile.
 BLOCK = 1 << 18
 
@@ -124,13 +125,14 @@ class WordEncoder:
         new = np.flatnonzero(~met)
         if len(new):
             words = [word_at(i).decode() for i in first[new].tolist()]
-            coded = [np.array(x.ids, np.uint32) for x in self.library.encode_batch_fast(words, add_special_tokens=False)]
-            lengths = np.array([len(x) for x in coded], np.int64)
+            coded = [x.ids for x in self.library.encode_batch_fast(words, add_special_tokens=False)]
+            lengths = np.fromiter(map(len, coded), np.int64, len(coded))
+            ids = np.fromiter(chain.from_iterable(coded), np.uint32, int(lengths.sum()))
             found[new] = len(self.length) + np.arange(len(new))
             self.known, self.place = np.insert(self.known, at[new], each[new]), np.insert(self.place, at[new], found[new])
             self.offset = np.concatenate([self.offset, len(self.flat) + np.cumsum(lengths) - lengths])
             self.length = np.concatenate([self.length, lengths])
-            self.flat = np.concatenate([self.flat, *coded])
+            self.flat = np.concatenate([self.flat, ids])
         return found[back]
 
     def _gather(self, places: np.ndarray, runs: np.ndarray) -> list[np.ndarray]:
@@ -155,7 +157,8 @@ class WordEncoder:
         some = kind[starts] != 0
         starts, ends = starts[some], ends[some]
         hashes = hash_spans(_LOWER[data], starts, ends)
-        places = self._places(hashes, lambda i: data[starts[i] : ends[i]].tobytes())
+        whole = data.tobytes()
+        places = self._places(hashes, lambda i: whole[starts[i] : ends[i]])
         return self._gather(places, np.diff(np.searchsorted(starts, np.append(begins, len(data)))))
 
     def _by_space(self, text: bytes) -> np.ndarray:
@@ -234,9 +237,9 @@ class Pool:
         """One or two lengths of that sum."""
         if total in self.by_length:
             return [total]
+        there = self.by_length
         for a in self.lengths[: bisect_right(self.lengths, total // 2)]:
-            other = self.by_length.get(total - a)
-            if other and (2 * a < total or len(other) > 1):
+            if total - a in there and (2 * a < total or len(there[a]) > 1):
                 return [total - a, a]
         return None
 
