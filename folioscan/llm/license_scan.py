@@ -36,6 +36,7 @@ from pyspark.sql import functions as F
 
 from folioscan.llm.common import text_of
 from folioscan.llm.licence_texts import TEMPLATES
+from folioscan.llm.textscan import release
 
 #: Words that tell nothing by themselves.
 COMMON = frozenset(
@@ -90,22 +91,22 @@ def windows_of(words: list[str]) -> list[list[str]]:
 class _Sparse:
     """A matrix of zeros and ones by the places of its ones."""
 
-    def __init__(self, rows: list[list[int]], width: int):
+    def __init__(self, rows: list[np.ndarray], width: int):
         self.shape = (len(rows), width)
         self.row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-        self.column = np.array([c for r in rows for c in r], np.int64)
+        self.column = np.concatenate([np.zeros(0, np.int64), *rows]).astype(np.int64)
         self.by_column = np.argsort(self.column, kind="stable")
         self.rows, self.row_starts = np.unique(self.row, return_index=True)
         self.columns, self.column_starts = np.unique(self.column[self.by_column], return_index=True)
 
     def times(self, w: np.ndarray) -> np.ndarray:
-        out = np.zeros((self.shape[0], w.shape[1]))
+        out = np.zeros((self.shape[0], w.shape[1]), w.dtype)
         if len(self.rows):
             out[self.rows] = np.add.reduceat(w[self.column], self.row_starts)
         return out
 
     def transposed(self, d: np.ndarray) -> np.ndarray:
-        out = np.zeros((self.shape[1], d.shape[1]))
+        out = np.zeros((self.shape[1], d.shape[1]), d.dtype)
         if len(self.columns):
             out[self.columns] = np.add.reduceat(d[self.row[self.by_column]], self.column_starts)
         return out
@@ -126,45 +127,47 @@ def train(paragraphs: list[str], families: dict[str, list[str]] = TEMPLATES) ->
     rng = np.random.default_rng(SEED)
     names = [*sorted(families), UNKNOWN]
     other = np.array([w for p in paragraphs for w in words_of(p)] or ["the", "of", "and"])
-    rows: list[tuple[set[str], int]] = []
+    templates = [grams_of(words_of(t)) for ts in families.values() for t in ts]
+    vocabulary = sorted({g for t in templates for g in t if not set(g.split()) <= COMMON})
+    place = {g: i for i, g in enumerate(vocabulary)}
+    coded = lambda grams: np.array(sorted(place[g] for g in grams if g in place), np.int32)  # noqa: E731  so that no row keeps its strings
+    rows: list[tuple[np.ndarray, int]] = []
     for k, name in enumerate(names[:-1]):
         for t in families[name]:
             words = words_of(t)
-            rows.append((grams_of(words[:WINDOW]), k))
+            rows.append((coded(grams_of(words[:WINDOW])), k))
             for _ in range(VARIANTS + 2 * len(words)):
                 n = max(min(len(words), 4), int(min(len(words), WINDOW) * rng.uniform(0.45, 1)))
                 a = int(rng.integers(0, len(words) - n + 1))
                 around = [str(x) for x in rng.choice(other, int(rng.integers(0, 12 if rng.random() < 0.6 else WINDOW)))][: WINDOW - n]
                 cut = int(rng.integers(0, len(around) + 1))
-                rows.append((grams_of([*around[:cut], *words[a : a + n], *around[cut:]]), k))
-    templates = [grams_of(words_of(t)) for ts in families.values() for t in ts]
+                rows.append((coded(grams_of([*around[:cut], *words[a : a + n], *around[cut:]])), k))
     everything = [w for ts in families.values() for t in ts for w in words_of(t)]
     loose = np.array([*everything, *other[: len(everything)].tolist()])
     none = len(names) - 1
     for g in (grams_of(w) for p in paragraphs for w in windows_of(words_of(p))):
         if not any(len(g & t) >= 0.5 * min(len(g), len(t)) for t in templates):
-            rows.append((g, none))
+            rows.append((coded(g), none))
     for _ in range(len(rows) // 4):  # words of templates out of order tell nothing
-        rows.append((grams_of([str(x) for x in rng.choice(loose, int(rng.integers(1, 12)))]), none))
-    vocabulary = sorted({g for t in templates for g in t if not set(g.split()) <= COMMON})
-    place = {g: i for i, g in enumerate(vocabulary)}
+        rows.append((coded(grams_of([str(x) for x in rng.choice(loose, int(rng.integers(1, 12)))])), none))
     y = np.array([k for _, k in rows])
     held = rng.random(len(rows)) < 0.25
-    inside = [[place[w] for w in sorted(g) if w in place] for g, _ in rows]
-    learn, check = _Sparse([x for x, h in zip(inside, held, strict=True) if not h], len(vocabulary)), _Sparse([x for x, h in zip(inside, held, strict=True) if h], len(vocabulary))
-    w, b = np.zeros((len(vocabulary), len(names))), np.zeros(len(names))
+    learn, check = (_Sparse([g for (g, _), h in zip(rows, held, strict=True) if h == side], len(vocabulary)) for side in (False, True))
+    w, b = np.zeros((len(vocabulary), len(names)), np.float32), np.zeros(len(names), np.float32)
     weight = (1 / np.bincount(y[~held], minlength=len(names)).clip(1))[y[~held]]
-    weight /= weight.sum()
-    target = np.eye(len(names))[y[~held]]
+    weight = (weight / weight.sum()).astype(np.float32)
+    target = np.eye(len(names), dtype=np.float32)[y[~held]]
     for step in range(STEPS):  # proximal gradient: small weights become zero
         d = (_softmax(learn.times(w) + b) - target) * weight[:, None]
-        rate = 4.0 / (1 + step / 200)
+        rate = np.float32(4.0 / (1 + step / 200))
         w -= rate * learn.transposed(d)
         b -= rate * d.sum(0)
-        w = np.sign(w) * np.maximum(np.abs(w) - rate * PENALTY, 0)
+        w = np.sign(w) * np.maximum(np.abs(w) - rate * np.float32(PENALTY), 0)
     z = check.times(w) + b
     best = min((-np.log(_softmax(z / t)[np.arange(len(z)), y[held]] + 1e-12).mean(), t) for t in np.geomspace(0.2, 3, 40))
-    w, b = w / best[1], b / best[1]
+    w, b = (np.round(v.astype(np.float64) / best[1], 4) for v in (w, b))  # short literals
+    del rows, learn, check
+    release()
     kept = np.flatnonzero(np.abs(w).sum(1) > 0)
     # A family must reach the least probability against unknown alone; features in order of what they can add at most.
     need = np.log(LEAST_PROBABILITY / (1 - LEAST_PROBABILITY)) - (b[:-1] - b[none])
