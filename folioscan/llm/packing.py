@@ -45,7 +45,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscan.llm.textscan import IS_SPACE, hash_spans, in_arrow, mix64, release, slices, texts_of
+from folioscan.llm.textscan import IS_SPACE, hash_spans, in_arrow, kept, mix64, release, slices, texts_of
 
 TIERS = (512, 1024, 2048, 4096)
 #: Tokens of documents that wait for a window, at most, and so many are left when windows have been made.
@@ -183,11 +183,11 @@ class WordEncoder:
         return np.concatenate([np.zeros(0, np.uint32), *coded]), np.cumsum([len(x) for x in coded], dtype=np.int64)
 
 
-_encoders: dict[tuple[str, int], WordEncoder] = {}
+_encoders: dict[tuple[str, int], WordEncoder] = kept(__name__)
 
 
 def encoder_of(serialised: str, end_id: int, by_word: bool) -> WordEncoder:
-    """The worker's encoder: what one task has learned serves the next."""
+    """The worker's encoder: what one task has learned serves the next, until a task of another operator begins."""
     key = (serialised, end_id)
     if key not in _encoders:
         _encoders.clear()

@@ -19,8 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 BLOCK = 1 << 19
-#: Bytes of an Arrow batch on its way to a worker.
-ARROW_BYTES = 8 << 20
+#: Bytes of an Arrow batch on its way to a worker, and rows that a Parquet reader holds decoded at once; an executor has several of either.
+ARROW_BYTES, READ_ROWS = 2 << 20, 1024
 
 try:
     _libc = ctypes.CDLL("libc.so.6")
@@ -46,10 +46,30 @@ def release() -> None:
         _libc.malloc_trim(0)
 
 
+#: What operators keep in a worker from task to task, by their modules.
+_kept: dict[str, dict] = {}
+
+
+def kept(owner: str) -> dict:
+    """Where the tasks of a module keep what serves the next of them; emptied when a task of another module begins in the worker."""
+    return _kept.setdefault(owner, {})
+
+
+def forget(owner: str) -> None:
+    """Empty what modules besides ``owner`` have kept."""
+    others = [found for name, found in _kept.items() if name != owner and found]
+    for found in others:
+        found.clear()
+    if others:
+        release()
+
+
 def releasing(run):
-    """An Arrow function that calls ``release`` when its task has ended."""
+    """An Arrow function that calls ``forget`` when its task begins and ``release`` when it has ended."""
+    owner = run.__module__
 
     def wrapped(batches):
+        forget(owner)
         try:
             yield from run(batches)
         finally:
@@ -62,12 +82,13 @@ def in_arrow(rows: DataFrame, run, schema: str) -> DataFrame:
     """``rows.mapInArrow(run, schema)`` in batches of bounded size, whose workers give memory back.
 
     Spark says how large batches are by settings of the session, looked at when a
-    plan runs; so a larger value there is lowered for good. A row beyond it is a batch of its own.
+    plan runs; so larger values there are lowered for good. A row beyond it is a batch of its own.
     """
-    conf, key = rows.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
-    said = str(conf.get(key)).removesuffix("b")
-    if not said.isdigit() or not 0 < int(said) <= ARROW_BYTES:
-        conf.set(key, f"{ARROW_BYTES}b")
+    conf = rows.sparkSession.conf
+    for key, most in (("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES), ("spark.sql.parquet.columnarReaderBatchSize", READ_ROWS)):
+        said = str(conf.get(key)).removesuffix("b")
+        if not said.isdigit() or not 0 < int(said) <= most:
+            conf.set(key, str(most))
     return rows.mapInArrow(releasing(run), schema)
 
 

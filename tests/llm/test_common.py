@@ -2,10 +2,14 @@
 
 import random
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from folioscan.llm.common import FILE, ROW, dealt_join, located, maybe_in, small_or_plain, without
 from folioscan.llm.components import components
+from folioscan.llm.packing import _encoders, encoder_of
+from folioscan.llm.queries import tokenizer
+from folioscan.llm.textscan import in_arrow, releasing
 
 
 def brute(edges):
@@ -73,3 +77,28 @@ def test_without_is_an_anti_join(spark, tmp_path):
         left = [r["k"] for r in without(rows, gone, ["k"], places).collect()]
         assert sorted(left) == [k for k in range(3000) if k % 3]
     assert without(rows, gone.limit(0), ["k"]).count() == 3000 and without(rows, rows.select("k"), ["k"]).isEmpty()
+
+
+def test_batches_to_workers_are_small(spark):
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows]), pa.array([batch.nbytes])], ["n", "bytes"])
+
+    rows = spark.range(0, 900, 1, 1).select(F.repeat(F.lit("word "), 2000).alias("text"))
+    got = in_arrow(rows, run, "n long, bytes long").collect()
+    assert sum(r["n"] for r in got) == 900 and max(r["bytes"] for r in got) < 3 << 20
+    one = spark.range(0, 2, 1, 1).select(F.repeat(F.lit("word "), 1_000_000).alias("text"))  # a longer text is a batch of its own
+    assert sum(r["n"] for r in in_arrow(one, run, "n long, bytes long").collect()) == 2
+
+
+def test_workers_forget_what_another_operator_kept():
+    with open(tokenizer("word_bpe_49k.json"), encoding="utf-8") as f:
+        encoder = encoder_of(f.read(), 2, True)
+
+    def again(batches):
+        return batches
+
+    again.__module__ = encoder_of.__module__
+    assert list(releasing(again)([1])) == [1] and encoder in _encoders.values()  # its own tasks keep it
+    again.__module__ = "another"
+    assert list(releasing(again)([1])) == [1] and not _encoders
